@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import quality_rules
+from claimloom.llm import quality_rules, simhash
 from claimloom.llm.common import documents
 
 
+def op2_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.classes(documents(spark, sf_dir))
+
+
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the current policy's verdict for every document."""
     return quality_rules.ledger(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_rule_ledger": op3_rule_ledger}
+QUERIES = {
+    "op2_simhash_classes": op2_simhash_classes,
+    "op3_rule_ledger": op3_rule_ledger,
+}
 ORACLES = {"op3_rule_ledger": quality_rules.ORACLE_SQL}
