@@ -107,7 +107,7 @@ RULES = (
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", "100 * n_dup_lines > 60 * n_lines"),
     Rule("upper_case", "100 * n_upper > 50 * n_letters"),
 )
 BASE = 0b11
