@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import quality_rules, simhash
+from claimloom.llm import bpe, quality_rules, simhash
 from claimloom.llm.common import documents
 
 
@@ -18,8 +18,14 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ledger(documents(spark, sf_dir))
 
 
+def op4_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text decoded from them."""
+    return bpe.round_trip(documents(spark, sf_dir), bpe.default_path())
+
+
 QUERIES = {
     "op2_simhash_classes": op2_simhash_classes,
     "op3_rule_ledger": op3_rule_ledger,
+    "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
 }
 ORACLES = {"op3_rule_ledger": quality_rules.ORACLE_SQL}
