@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, quality_rules, simhash
+from claimloom.llm import bpe, quality_rules, simhash, token_files
 from claimloom.llm.common import documents
 
 
@@ -23,9 +23,15 @@ def op4_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), bpe.default_path())
 
 
+def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, as read back from the token files."""
+    return token_files.token_index(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_simhash_classes": op2_simhash_classes,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
+    "op5_pfor_token_files": op5_pfor_token_files,
 }
 ORACLES = {"op3_rule_ledger": quality_rules.ORACLE_SQL}
