@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, quality_rules, simhash, token_files
+from claimloom.llm import bpe, quality_classifier, quality_rules, simhash, token_files
 from claimloom.llm.common import documents
 
 
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, score and verdict of the weak-label classifier for every document."""
+    return quality_classifier.classify(documents(spark, sf_dir), labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.classes(documents(spark, sf_dir))
@@ -29,6 +34,7 @@ def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_weak_label_quality": op1_weak_label_quality,
     "op2_simhash_classes": op2_simhash_classes,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
