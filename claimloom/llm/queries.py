@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, quality_classifier, quality_rules, simhash, token_files
+from claimloom.llm import bpe, packing, quality_classifier, quality_rules, simhash, token_files
 from claimloom.llm.common import documents
 
 
@@ -33,11 +33,17 @@ def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(documents(spark, sf_dir))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin and place of every piece of every document."""
+    return packing.packed(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_weak_label_quality": op1_weak_label_quality,
     "op2_simhash_classes": op2_simhash_classes,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
     "op5_pfor_token_files": op5_pfor_token_files,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES = {"op3_rule_ledger": quality_rules.ORACLE_SQL}
