@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, packing, quality_classifier, quality_rules, simhash, token_files
+from claimloom.llm import bpe, media, packing, quality_classifier, quality_rules, simhash, token_files
 from claimloom.llm.common import documents
 
 
@@ -33,6 +33,11 @@ def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(documents(spark, sf_dir))
 
 
+def op7_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text stored as motion-JPEG and read back, and its shots."""
+    return media.described(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin and place of every piece of every document."""
     return packing.packed(documents(spark, sf_dir))
@@ -44,6 +49,7 @@ QUERIES = {
     "op3_rule_ledger": op3_rule_ledger,
     "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
     "op5_pfor_token_files": op5_pfor_token_files,
+    "op7_avi_motion_jpeg": op7_avi_motion_jpeg,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES = {"op3_rule_ledger": quality_rules.ORACLE_SQL}
