@@ -33,7 +33,7 @@ from claimloom.llm.common import binaries, unused, utf8
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 #: Fragments that an encoder remembers, and the longest of them.
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 #: Characters of text encoded at a time.
 _AT_ONCE = 1 << 21
 
@@ -98,12 +98,33 @@ class Encoder:
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.kept: dict[str, bytes] = {}
-
-    def _encode(self, fragments: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(fragments), 4096):
-            for e in self.tokenizer.encode_batch_fast(fragments[i : i + 4096], add_special_tokens=False):
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self._lengths = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+        for spelling, i in vocabulary.items():
+            self._lengths[i] = len(spelling)  # a character for each byte
+        for i, added in tokenizer.get_added_tokens_decoder().items():
+            self._lengths[i] = len(added.content.encode())
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
+    def _fragments(self, fragments: list[str]) -> Iterator[bytes]:
+        """Ids of fragments with a space before each: encoded together, then cut where their bytes end."""
+        for i in range(0, len(fragments), 2048):
+            some = fragments[i : i + 2048]
+            (ids,) = self._encode([f" {' '.join(some)}"])
+            ends = np.cumsum(self._lengths[np.frombuffer(ids, "<u4")])
+            own = np.cumsum([1 + (len(f) if f.isascii() else len(f.encode())) for f in some])
+            cuts = np.searchsorted(ends, own)
+            if not np.array_equal(ends[cuts], own):
+                raise ValueError("a token spans two fragments")
+            start = 0
+            for end in (4 * (cuts + 1)).tolist():
+                yield ids[start:end]
+                start = end
+
     @staticmethod
     def _joined(parts: list[str]) -> list[str]:
         """Fragments again, joined wherever a space is not single or stands beside white space."""
@@ -118,21 +139,28 @@ class Encoder:
         return out
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        kept, cut, new = self.kept, [], set()
-        for t in texts:
-            parts = t.split(" ")
-            fresh = set(parts[1:]).difference(kept)
-            if any(not f or f[0].isspace() or f[-1].isspace() for f in fresh) or not parts[0] or parts[0][-1].isspace():
-                parts = self._joined(parts)
-                fresh = set(parts[1:]).difference(kept)
-            new |= fresh
-            cut.append(parts)
-        missing = list(new)
-        got = dict(zip(missing, self._encode([f" {f}" for f in missing])))
+        kept, every = self.kept, set()
+        cut = [t.split(" ") for t in texts]
+        for parts in cut:
+            every.update(parts)
+        new = every.difference(kept)
+        bad = {f for f in new if not f or f[0].isspace() or f[-1].isspace()}
+        if bad:
+            new -= bad
+            for i, parts in enumerate(cut):
+                if not bad.isdisjoint(parts):
+                    cut[i] = self._joined(parts)
+                    new.update(p for p in cut[i][1:] if p not in kept)
+        missing = [f for f in new if not f[-1].isspace()]
+        ends = [f for f in new if f[-1].isspace()]  # of texts that end in white space
+        kept.update(zip(missing, self._fragments(missing)))
+        kept.update(zip(ends, self._encode([f" {f}" for f in ends])))
         heads = self._encode([parts[0] for parts in cut])
-        out = [b"".join([head, *[kept.get(p) or got[p] for p in parts[1:]]]) for head, parts in zip(heads, cut)]
-        if len(kept) < REMEMBERED:
-            kept.update((f, ids) for f, ids in got.items() if len(f) <= LONGEST)
+        out = [b"".join([head, *map(kept.__getitem__, parts[1:])]) for head, parts in zip(heads, cut)]
+        full = len(kept) > REMEMBERED
+        for f in missing + ends:
+            if full or len(f) > LONGEST or f[-1].isspace():
+                del kept[f]
         return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
