@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, media, packing, quality_classifier, quality_rules, simhash, token_files
+from claimloom.llm import bpe, media, packing, pii, quality_classifier, quality_rules, simhash, token_files
 from claimloom.llm.common import documents
 
 
@@ -43,6 +43,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op10_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of personal data and of disclosing terms in every document."""
+    return pii.spans(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_weak_label_quality": op1_weak_label_quality,
     "op2_simhash_classes": op2_simhash_classes,
@@ -51,5 +56,6 @@ QUERIES = {
     "op5_pfor_token_files": op5_pfor_token_files,
     "op7_avi_motion_jpeg": op7_avi_motion_jpeg,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_information_theoretic_pii": op10_information_theoretic_pii,
 }
 ORACLES = {"op3_rule_ledger": quality_rules.ORACLE_SQL}
