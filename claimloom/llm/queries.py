@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, media, packing, pii, quality_classifier, quality_rules, simhash, token_files
+from claimloom.llm import bpe, media, packing, pii, quality_classifier, quality_rules, sharding, simhash, token_files
 from claimloom.llm.common import documents
 
 
@@ -38,6 +38,11 @@ def op7_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(documents(spark, sf_dir))
 
 
+def op8_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.sharded(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin and place of every piece of every document."""
     return packing.packed(documents(spark, sf_dir))
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
     "op5_pfor_token_files": op5_pfor_token_files,
     "op7_avi_motion_jpeg": op7_avi_motion_jpeg,
+    "op8_balanced_label_propagation": op8_balanced_label_propagation,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_information_theoretic_pii": op10_information_theoretic_pii,
 }
