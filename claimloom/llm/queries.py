@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import bpe, media, packing, pii, quality_classifier, quality_rules, sharding, simhash, token_files
+from claimloom.llm import bpe, language_model, media, packing, pii, quality_classifier, quality_rules, sharding, simhash, token_files
 from claimloom.llm.common import documents
 
 
@@ -33,6 +33,11 @@ def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(documents(spark, sf_dir))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under the interpolated bigram model and the add-one base."""
+    return language_model.scores(documents(spark, sf_dir))
+
+
 def op7_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text stored as motion-JPEG and read back, and its shots."""
     return media.described(documents(spark, sf_dir))
@@ -59,6 +64,7 @@ QUERIES = {
     "op3_rule_ledger": op3_rule_ledger,
     "op4_byte_bpe_round_trip": op4_byte_bpe_round_trip,
     "op5_pfor_token_files": op5_pfor_token_files,
+    "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_avi_motion_jpeg": op7_avi_motion_jpeg,
     "op8_balanced_label_propagation": op8_balanced_label_propagation,
     "op9_best_fit_packing": op9_best_fit_packing,
