@@ -5,7 +5,7 @@ token is spelt in those characters, and each way to join two tokens into a third
 third's rank. Splitting by the pattern, then merging by rank, gives what rank-based encoders give.
 
 Texts are cut at single spaces between two characters that aren't white space, which no match of the
-pattern crosses; equal fragments of a batch are encoded once, and frequent ones are remembered.
+pattern crosses; equal fragments of a batch are encoded once, and the first REMEMBERED ones are kept.
 Decoding looks up each token's bytes through the reversed byte table; a character that is split over
 tokens comes out whole, as bytes are joined before they are read as UTF-8, and ``decode_stream``
 holds back an unfinished character until its last byte.
@@ -22,10 +22,12 @@ import functools
 import hashlib
 import os
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ from claimloom.llm.common import binaries, unused, utf8
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 #: Fragments that an encoder remembers, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 1_000_000, 48
 #: Characters of text encoded at a time.
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 23
 
 
 @functools.cache
@@ -97,33 +99,31 @@ class Encoder:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.kept: dict[str, bytes] = {}
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self._lengths = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
-        for spelling, i in vocabulary.items():
+        for spelling, i in tokenizer.get_vocab(with_added_tokens=False).items():
             self._lengths[i] = len(spelling)  # a character for each byte
         for i, added in tokenizer.get_added_tokens_decoder().items():
             self._lengths[i] = len(added.content.encode())
+        # remembered fragments: where each one's ids are in one array
+        self.known = pa.array([], pa.large_string())
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 4096):
             for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+                yield np.array(e.ids, "<u4")
 
-    def _fragments(self, fragments: list[str]) -> Iterator[bytes]:
-        """Ids of fragments with a space before each: encoded together, then cut where their bytes end."""
+    def _fragments(self, fragments: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of fragments with a space before each, and the number of each one's ids: encoded together, then cut where their bytes end."""
         for i in range(0, len(fragments), 2048):
             some = fragments[i : i + 2048]
-            (ids,) = self._encode([f" {' '.join(some)}"])
-            ends = np.cumsum(self._lengths[np.frombuffer(ids, "<u4")])
-            own = np.cumsum([1 + (len(f) if f.isascii() else len(f.encode())) for f in some])
+            (ids,) = self._encode([f" {' '.join(some.to_pylist())}"])
+            ends = np.cumsum(self._lengths[ids])
+            own = np.cumsum(1 + pc.binary_length(some).to_numpy(zero_copy_only=False))
             cuts = np.searchsorted(ends, own)
             if not np.array_equal(ends[cuts], own):
                 raise ValueError("a token spans two fragments")
-            start = 0
-            for end in (4 * (cuts + 1)).tolist():
-                yield ids[start:end]
-                start = end
+            yield ids, np.diff(cuts, prepend=-1)
 
     @staticmethod
     def _joined(parts: list[str]) -> list[str]:
@@ -138,29 +138,52 @@ class Encoder:
         out.append(now)
         return out
 
+    def _resolved(self, flat: pa.Array, cuts: np.ndarray) -> list[bytes]:
+        """The ids of each text, given the fragments of all texts in a row and where each text's begin."""
+        coded = flat.dictionary_encode()
+        own, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(own, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        loose = pc.not_equal(pc.utf8_rtrim_whitespace(own), own).to_numpy(zero_copy_only=False)  # the last of texts that end in white space
+        joint, single = np.flatnonzero((at < 0) & ~loose), np.flatnonzero((at < 0) & loose)
+        new = [*self._fragments(own.take(pa.array(joint)))]
+        alone = [*self._encode([f" {f}" for f in own.take(pa.array(single)).to_pylist()])]
+        heads = [*self._encode(flat.take(pa.array(cuts[:-1])).to_pylist())]
+        more = [x for x, _ in new]
+        sizes = np.concatenate([*[n for _, n in new], [len(x) for x in alone], [len(x) for x in heads], np.zeros(0, np.int64)]).astype(np.int64)
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        table = np.concatenate([self.ids, *more, *alone, *heads])
+        start, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        known, fresh = at >= 0, np.append(joint, single)
+        start[known], size[known] = self.starts[at[known]], self.sizes[at[known]]
+        start[fresh], size[fresh] = starts[: len(fresh)], sizes[: len(fresh)]
+        if len(self.known) < REMEMBERED:
+            keep = np.flatnonzero(pc.binary_length(own.take(pa.array(joint))).to_numpy(zero_copy_only=False) <= LONGEST)
+            self.known = pa.concat_arrays([self.known, own.take(pa.array(joint[keep]))])
+            self.starts, self.sizes = np.append(self.starts, starts[keep]), np.append(self.sizes, sizes[keep])
+            self.ids = np.concatenate([self.ids, *more])
+        s, n = start[index], size[index]
+        s[cuts[:-1]], n[cuts[:-1]] = starts[len(fresh) :], sizes[len(fresh) :]
+        end = np.append(0, np.cumsum(n))
+        out = table[np.arange(end[-1]) + np.repeat(s - end[:-1], n)]
+        return [out[a:b].tobytes() for a, b in zip(end[cuts[:-1]], end[cuts[1:]])]
+
     def _batch(self, texts: list[str]) -> list[bytes]:
-        kept, every = self.kept, set()
-        cut = [t.split(" ") for t in texts]
-        for parts in cut:
-            every.update(parts)
-        new = every.difference(kept)
-        bad = {f for f in new if not f or f[0].isspace() or f[-1].isspace()}
-        if bad:
-            new -= bad
-            for i, parts in enumerate(cut):
-                if not bad.isdisjoint(parts):
-                    cut[i] = self._joined(parts)
-                    new.update(p for p in cut[i][1:] if p not in kept)
-        missing = [f for f in new if not f[-1].isspace()]
-        ends = [f for f in new if f[-1].isspace()]  # of texts that end in white space
-        kept.update(zip(missing, self._fragments(missing)))
-        kept.update(zip(ends, self._encode([f" {f}" for f in ends])))
-        heads = self._encode([parts[0] for parts in cut])
-        out = [b"".join([head, *map(kept.__getitem__, parts[1:])]) for head, parts in zip(heads, cut)]
-        full = len(kept) > REMEMBERED
-        for f in missing + ends:
-            if full or len(f) > LONGEST or f[-1].isspace():
-                del kept[f]
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        cuts, flat = split.offsets.to_numpy().astype(np.int64), split.values
+        trimmed = pc.utf8_trim_whitespace(flat)
+        odd = pc.or_(pc.equal(pc.binary_length(flat), 0), pc.not_equal(trimmed, flat)).to_numpy(zero_copy_only=False)
+        rare = np.add.reduceat(odd, cuts[:-1], dtype=np.int64) > 0
+        if not rare.any():
+            return self._resolved(flat, cuts)
+        out: list[bytes] = [b""] * len(texts)
+        plain, rest = np.flatnonzero(~rare), np.flatnonzero(rare)
+        if len(plain):
+            own = split.take(pa.array(plain))
+            for i, ids in zip(plain, self._resolved(own.flatten(), np.append(0, np.cumsum(np.diff(cuts)[plain])))):
+                out[i] = ids
+        joined = [self._joined(texts[i].split(" ")) for i in rest]
+        for i, ids in zip(rest, self._resolved(pa.array(chain.from_iterable(joined), pa.large_string()), np.append(0, np.cumsum([len(j) for j in joined])))):
+            out[i] = ids
         return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
