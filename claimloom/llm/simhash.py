@@ -264,15 +264,20 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return paired.union(starred)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Every document's stored fingerprint (doc_id, fp), and each fingerprint's class (fp, component_id)."""
     bare, fp = fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width=width)
     own = stored(bare.select("doc_id", F.col(fp).alias("fp")))
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(links(distinct.select("fp"), bucket), "fp", "to")
     joined = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = joined.join(least, "component").select("fp", "component_id")
+    return own, joined.join(least, "component").select("fp", "component_id")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    own, by_fp = _classes(docs, id_col, text_col, width, bucket)
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -281,7 +286,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without an id are kept: nothing says which of a class they are. A repeated id is kept once.
     """
-    found = classes(docs, id_col, text_col, width)
-    first = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    once = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return once.join(first, F.col(id_col) == F.col("__keep"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    own, by_fp = _classes(docs, id_col, text_col, width, BUCKET)
+    first = by_fp.select(F.col("component_id").alias("__keep")).filter("__keep is not null").distinct()
+    kept = docs.join(first, F.col(id_col) == F.col("__keep"), "left_semi")
+    ids = own.filter("doc_id is not null").groupBy("doc_id").count()
+    if ids.filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
