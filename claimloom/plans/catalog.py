@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from claimloom.plans import search
+from claimloom.plans import articles, claims, search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (search,):
+for _module in (search, articles, claims):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
