@@ -12,8 +12,8 @@ deleted from all others, and the weights are those that make it likeliest.
 How it is computed: documents are gathered into blocks of about BLOCK_TOKENS tokens, stored once.
 A block sends each distinct n-gram (a 64-bit hash) with its count to the bucket of its hash;
 buckets add up the counts of all blocks and send them back in the block's order. So a shuffle holds an
-n-gram once per block, in sorted arrays, no word or document is hot, and both sides work in numpy. The
-held-out tokens are summed into cells of the context's bucket and of the components' logarithms in
+n-gram once per block, in sorted arrays (differences, byte planes, zstd), no word or document is hot, and
+both sides work in numpy. The part that fits the weights lies in blocks of its own; its tokens are summed into cells of the context's bucket and of the components' logarithms in
 quarter steps, a table of bounded size, on which EM runs.
 
 Defined cases: a null or empty text is its end alone. Null ids count as the text "" for the split into
@@ -32,6 +32,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ FOLDS, HELD_OUT, DELETED = 7, 2, 0
 BUCKETS = 24
 DEFAULT = (0.4, 0.4, 0.2)
 _END = np.uint64(xxhash.xxh64_intdigest(b""))
-_BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, roles binary, lengths binary, words binary, stream binary"
+_BLOCK_SCHEMA = "block bigint, deleted boolean, doc_ids array<bigint>, roles binary, lengths binary, words binary, stream binary"
 TRAIN, TRAIN_DELETED, SCORED = 1, 2, 0
 
 
@@ -55,48 +56,69 @@ def role(doc_id: int | None) -> int:
     return SCORED if r == HELD_OUT else TRAIN_DELETED if r == DELETED else TRAIN
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """An integer array by byte planes, compressed."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).ravel()
+
+
+class _Gathering:
+    """Documents of one kind on their way into a block."""
+
+    def __init__(self, deleted: bool):
+        self.deleted = deleted
+        self.ids: list = []
+        self.lengths: list[int] = []
+        self.streams: list[np.ndarray] = []
+        self.held = 0
+        self.local: defaultdict[bytes, int] = defaultdict(count().__next__)
+
+    def add(self, doc_id: int | None, text: bytes) -> None:
+        n = 0
+        for words in word_slices(text.lower()):
+            self.streams.append(np.fromiter(map(self.local.__getitem__, words), "<u4", len(words)))
+            n += len(words)
+        self.streams.append(np.array([self.local[b""]], "<u4"))
+        self.ids.append(doc_id)
+        self.lengths.append(n + 1)
+        self.held += n + 1
+
+    def block(self, number: int) -> pa.RecordBatch:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.local), np.uint64, len(self.local))
+        row = [[number], [self.deleted], [self.ids], [bytes(map(role, self.ids))], [_packed(np.array(self.lengths, "<u8"))], [_packed(hashes)], [_packed(np.concatenate(self.streams))]]
+        types = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=["block", "deleted", "doc_ids", "roles", "lengths", "words", "stream"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base = TaskContext.get().partitionId() << 24
-    made = 0
-
-    def block() -> pa.RecordBatch:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), np.uint64, len(local))
-        row = [[base + made], [ids], [bytes(map(role, ids))], [np.array(lengths, "<u4").tobytes()], [hashes.tobytes()], [np.concatenate(streams).tobytes()]]
-        types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=["block", "doc_ids", "roles", "lengths", "words", "stream"])
-
-    ids: list = []
-    lengths: list[int] = []
-    streams: list[np.ndarray] = []
-    held = 0
-    local: defaultdict[bytes, int] = defaultdict(count().__next__)
+    number = count(TaskContext.get().partitionId() << 24)
+    kinds = [_Gathering(False), _Gathering(True)]
     for b in batches:
         for d, text in zip(b.column(0).to_pylist(), b.column(1)):
-            n = 0
-            for words in word_slices(text.as_py().lower()):
-                streams.append(np.fromiter(map(local.__getitem__, words), "<u4", len(words)))
-                n += len(words)
-            streams.append(np.array([local[b""]], "<u4"))
-            ids.append(d)
-            lengths.append(n + 1)
-            held += n + 1
-            if held >= BLOCK_TOKENS:
-                yield block()
-                made += 1
-                ids, lengths, streams, held = [], [], [], 0
-                local = defaultdict(count().__next__)
-    if ids:
-        yield block()
+            k = role(d) == TRAIN_DELETED
+            kinds[k].add(d, text.as_py())
+            if kinds[k].held >= BLOCK_TOKENS:
+                yield kinds[k].block(next(number))
+                kinds[k] = _Gathering(k)
+    for k in kinds:
+        if k.ids:
+            yield k.block(next(number))
 
 
 class Block:
     """A block's tokens and n-grams as arrays."""
 
     def __init__(self, roles: bytes, lengths: bytes, words: bytes, stream: bytes):
-        self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
+        self.lengths = _unpacked(lengths, "<u8").astype(np.int64)
         self.roles = np.repeat(np.frombuffer(roles, np.uint8), self.lengths)
-        self.words = np.frombuffer(words, np.uint64)
-        self.stream = np.frombuffer(stream, "<u4")
+        self.words = _unpacked(words, "<u8")
+        self.stream = _unpacked(stream, "<u4")
         end = int(np.flatnonzero(self.words == _END)[0])
         self.before = np.append(np.uint32(end), self.stream[:-1])  # each document follows an end
 
@@ -108,8 +130,8 @@ class Block:
             x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
             return x ^ x >> np.uint64(32)
 
-    def counted(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys ascending, each token's place among them, training and deleted counts."""
+    def counted(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys ascending, each token's place among them, training counts."""
         if order == 1:
             rank = np.argsort(self.words)
             keys, place = self.words[rank], np.empty(len(rank), np.int64)
@@ -117,13 +139,10 @@ class Block:
             where = place[self.stream]
         else:
             keys, where = np.unique(self.pairs(), return_inverse=True)
-        return keys, where, np.bincount(where[self.roles > 0], minlength=len(keys)), np.bincount(where[self.roles == TRAIN_DELETED], minlength=len(keys))
+        return keys, where, np.bincount(where[self.roles > 0], minlength=len(keys))
 
 
-def _cell(bucket: int, block: int, order: int, *arrays: np.ndarray) -> pa.RecordBatch:
-    kinds = ("<u8", "<u4", "<u4")[3 - len(arrays) :]
-    names = ("keys", "counts", "deleted")[3 - len(arrays) :]
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), pa.array([order], pa.int32()), *[pa.array([a.astype(k).tobytes()], pa.binary()) for a, k in zip(arrays, kinds)]], names=["bucket", "block", "order", *names])
+_SENT_SCHEMA = "bucket bigint, block bigint, deleted boolean, order int, keys binary, counts binary"
 
 
 def _sent(bits: int):
@@ -134,58 +153,58 @@ def _sent(bits: int):
             for row in b.to_pylist():
                 block = Block(row["roles"], row["lengths"], row["words"], row["stream"])
                 for order in (1, 2):
-                    keys, _, counts, deleted = block.counted(order)
+                    keys, _, counts = block.counted(order)
                     cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
                     cuts = np.append(cuts, len(keys))
                     for k in np.flatnonzero(np.diff(cuts)):
                         at = slice(cuts[k], cuts[k + 1])
-                        yield _cell(2 * int(k) + order - 1, row["block"], order, keys[at], counts[at], deleted[at])
+                        values = [2 * int(k) + order - 1, row["block"], row["deleted"], order, _packed(np.diff(keys[at], prepend=np.uint64(0))), _packed(counts[at].astype("<u4"))]
+                        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["bucket", "block", "deleted", "order", "keys", "counts"])
 
     return send
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """Sums of one bucket over all blocks, back in each block's order; kinds: distinct keys that training has (with and without the deleted part)."""
-    blocks, order = table.column("block").to_pylist(), table.column("order")[0].as_py()
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")]
-    counts, deleted = (np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column(c)]) for c in ("counts", "deleted"))
+    """Sums of one bucket over all blocks, back in each block's order; kinds: distinct keys that training has (left: without the deleted part)."""
+    order, removed = table.column("order")[0].as_py(), table.column("deleted").to_pylist()
+    keys = [np.cumsum(_unpacked(x.as_py(), "<u8"), dtype=np.uint64) for x in table.column("keys")]
+    counts = [_unpacked(x.as_py(), "<u4") for x in table.column("counts")]
+    sizes = [len(k) for k in keys]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total, gone = (np.rint(np.bincount(place, x, len(every))).astype(np.int64) for x in (counts, deleted))
-    cuts = np.append(0, np.cumsum([len(k) for k in keys]))
+    total = np.rint(np.bincount(place, np.concatenate(counts), len(every))).astype(np.int64)
+    gone = np.rint(np.bincount(place, np.concatenate([c if r else np.zeros(len(c)) for c, r in zip(counts, removed)]), len(every))).astype(np.int64)
+    cuts = np.append(0, np.cumsum(sizes))
     kinds, left = int((total > 0).sum()), int((total > gone).sum())
-    back = [(total[p], gone[p]) for p in (place[a:b] for a, b in zip(cuts, cuts[1:]))]
-    n = len(blocks)
+    places = [place[a:b] for a, b in zip(cuts, cuts[1:])]
+    n = len(sizes)
     return pa.table(
         {
             "bucket": table.column("bucket"),
-            "block": pa.array(blocks, pa.int64()),
+            "block": table.column("block"),
+            "deleted": table.column("deleted"),
             "order": pa.array([order] * n, pa.int32()),
-            "counts": pa.array([c.astype("<u8").tobytes() if c.max(initial=0) >> 32 else c.astype("<u4").tobytes() for c, _ in back], pa.binary()),
-            "deleted": pa.array([d.astype("<u8").tobytes() if c.max(initial=0) >> 32 else d.astype("<u4").tobytes() for c, d in back], pa.binary()),
-            "size": pa.array([len(c) for c, _ in back], pa.int64()),
+            "counts": pa.array([_packed(total[p].astype("<u8")) for p in places], pa.binary()),
+            "gone": pa.array([_packed(gone[p].astype("<u8")) if r else None for p, r in zip(places, removed)], pa.binary()),
             "kinds": pa.array([kinds] + [0] * (n - 1), pa.int64()),
             "left": pa.array([left] + [0] * (n - 1), pa.int64()),
         }
     )
 
 
-_BACK_SCHEMA = "bucket bigint, block bigint, order int, counts binary, deleted binary, size bigint, kinds bigint, left bigint"
-
+_BACK_SCHEMA = "bucket bigint, block bigint, deleted boolean, order int, counts binary, gone binary, kinds bigint, left bigint"
 
-def _numbers(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(data, "<u8" if len(data) == 8 * size else "<u4").astype(np.int64)
 
-
-def _joined(left: pa.Table, right: pa.Table) -> tuple[dict, Block, list[tuple[np.ndarray, np.ndarray]]]:
-    """A block's row, its arrays, and for orders 1 and 2 each token's counts (all training, deleted)."""
+def _joined(left: pa.Table, right: pa.Table, columns: tuple[str, ...] = ("counts",)) -> tuple[dict, Block, list[list[np.ndarray]]]:
+    """A block's row, its arrays, and for orders 1 and 2 each token's numbers of the given columns."""
     row = left.to_pylist()[0]
     block = Block(row["roles"], row["lengths"], row["words"], row["stream"])
-    cells = sorted(right.select(["bucket", "order", "counts", "deleted", "size"]).to_pylist(), key=lambda r: r["bucket"])
+    cells = sorted(right.select(["bucket", "order", *columns]).to_pylist(), key=lambda r: r["bucket"])
     out = []
     for order in (1, 2):
         where = block.counted(order)[1]
         own = [c for c in cells if c["order"] == order]
-        out.append(tuple(np.concatenate([_numbers(c[x], c["size"]) for c in own])[where] for x in ("counts", "deleted")))
+        out.append([np.concatenate([_unpacked(c[x], "<u8") for c in own]).astype(np.int64)[where] for x in columns])
     return row, block, out
 
 
@@ -240,10 +259,9 @@ def fit_weights(cells: np.ndarray, kinds: int, rounds: int = 60) -> np.ndarray:
 
 def _held_out_cells(n: int):
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, block, ((c1, d1), (c2, d2)) = _joined(left, right)
-        own = block.roles == TRAIN_DELETED
-        cu = _contexts(block, c1 - d1)[own]
-        p2, p1 = _components((c2 - d2)[own], cu, (c1 - d1)[own], n)
+        _, block, ((c1, d1), (c2, d2)) = _joined(left, right, ("counts", "gone"))
+        cu = _contexts(block, c1 - d1)
+        p2, p1 = _components(c2 - d2, cu, c1 - d1, n)
         with np.errstate(divide="ignore"):
             q = [np.where(p > 0, np.maximum(np.rint(-4 * np.log2(p)), 0), 1023).astype(np.int64) for p in (p2, p1)]
         key = (context_bucket(cu) << 20) | (q[0] << 10) | q[1]
@@ -255,7 +273,7 @@ def _held_out_cells(n: int):
 
 def _scores(w: Weights):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, block, ((c1, _), (c2, _)) = _joined(left, right)
+        row, block, ((c1,), (c2,)) = _joined(left, right)
         cu = _contexts(block, c1)
         p2, p1 = _components(c2, cu, c1, w.tokens)
         a = w.by_bucket[context_bucket(cu)]
@@ -294,17 +312,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"))
     blocks = stored(rows.mapInArrow(_blocks, _BLOCK_SCHEMA))
-    tokens = blocks.select(F.sum(F.octet_length("stream") / 4).cast("bigint").alias("n")).first().n or 0
+    roles = blocks.select("roles", "lengths").mapInArrow(_role_sums, "role int, n bigint").groupBy("role").agg(F.sum("n").alias("n")).collect()  # three rows
+    by_role = {r.role: r.n for r in roles}
+    tokens, train = sum(by_role.values()), by_role.get(TRAIN, 0) + by_role.get(TRAIN_DELETED, 0)
     bits = max(0, int(-(-tokens // BUCKET_TOKENS) - 1).bit_length())
     n = min(1 << (bits + 1), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sent = blocks.mapInArrow(_sent(bits), "bucket bigint, block bigint, order int, keys binary, counts binary, deleted binary")
+    sent = blocks.mapInArrow(_sent(bits), _SENT_SCHEMA)
     counts = stored(sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_added, _BACK_SCHEMA))
     sums = counts.filter("order = 1").agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("left"), F.lit(0)).alias("left")).first()
-    roles = blocks.select("roles", "lengths").mapInArrow(_role_sums, "role int, n bigint").groupBy("role").agg(F.sum("n").alias("n")).collect()  # three rows
-    by_role = {r.role: r.n for r in roles}
-    train = by_role.get(TRAIN, 0) + by_role.get(TRAIN_DELETED, 0)
     run = _held_out_cells(by_role.get(TRAIN, 0))
-    pairs = blocks.groupBy("block").cogroup(counts.groupBy("block"))
+    pairs = blocks.filter("deleted").groupBy("block").cogroup(counts.filter("deleted").groupBy("block"))
     # at most BUCKETS x 2^20 cells, a few thousand in practice: components are shares of counts
     cells = pairs.applyInArrow(run, "cell bigint, n bigint, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()
     held = np.array([(c.cell >> 20, c.n, c.p2, c.p1) for c in cells], float).reshape(-1, 4)
@@ -315,13 +332,13 @@ def _role_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(3, np.int64)
     for b in batches:
         for roles, lengths in zip(b.column("roles"), b.column("lengths")):
-            sums += np.bincount(np.frombuffer(roles.as_py(), np.uint8), np.frombuffer(lengths.as_py(), "<u4"), 3).astype(np.int64)
+            sums += np.bincount(np.frombuffer(roles.as_py(), np.uint8), _unpacked(lengths.as_py(), "<u8"), 3).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array(sums)], names=["role", "n"])
 
 
 def scored(model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    return model.blocks.groupBy("block").cogroup(model.counts.groupBy("block")).applyInArrow(_scores(model.weights), _SCORE_SCHEMA)
+    return model.blocks.groupBy("block").cogroup(model.counts.select("bucket", "block", "order", "counts").groupBy("block")).applyInArrow(_scores(model.weights), _SCORE_SCHEMA)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
