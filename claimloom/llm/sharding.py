@@ -147,7 +147,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     df = slim.join(groups, KEY)
     # dealt anew by part: else the window below would keep the join's partitions, with a whole group in one
     df = df.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("total") / PART))).repartition(*KEY, "part")
-    parts = slim.join(groups.filter(F.col("total") > PART).select(*KEY, "total"), KEY).groupBy(*KEY, F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("total") / PART)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    parts = df.filter(F.col("total") > PART).groupBy(*KEY, "part").agg(F.count(F.lit(1)).alias("n"))
     above = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("base", F.sum("n").over(above) - F.col("n")).drop("n")
     df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY, "part").orderBy(F.col("doc_id").asc_nulls_first())) - 1)
