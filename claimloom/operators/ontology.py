@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 from claimloom.operators.graph import COLUMNS, COMMENT, LABEL, OWL, RDF_TYPE, RDFS, SCHEMA, SUB_CLASS
+from claimloom.sources.tables import cut
 
 ORGANIZATION = f"{SCHEMA}Organization"
 DEEPEST = 10
@@ -64,15 +66,18 @@ def class_details(graph: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, root: str, deepest: int = DEEPEST) -> DataFrame:
     """(node, level): nodes that reach the root by child-parent edges, and the fewest steps; the root is level 0.
 
-    A frontier is joined with the edges at most ``deepest`` times, so cycles end.
+    A frontier is joined with the edges until nothing is new, at most ``deepest`` times, so cycles
+    end; each is checkpointed, so no plan holds the levels before it.
     """
     spark = edges.sparkSession
     edges = edges.select("child", "parent").distinct()
-    found = spark.createDataFrame([(root, 0)], "node string, level int")
-    frontier = found
+    frontier = spark.createDataFrame([(root, 0)], "node string, level int")
+    found = frontier
     for level in range(1, deepest + 1):
         step = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(level).alias("level")).distinct()
-        frontier = step.join(found.select("node"), "node", "left_anti")
+        frontier = cut(step.join(found.select("node"), "node", "left_anti"))
+        if not frontier.limit(1).count():
+            break
         found = found.union(frontier)
     return found
 
