@@ -66,6 +66,8 @@ class _Turtle:
             value = _plain(token[1:-1])
             return value if re.match(r"[A-Za-z][\w+.-]*:", value) else self.base + value
         prefix, _, local = token.partition(":")
+        if prefix not in self.prefixes:
+            raise ValueError(f"Turtle: unknown prefix {prefix!r}")
         return self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local)
 
     def node(self):
