@@ -11,9 +11,9 @@
    the posterior that it is unfit and the scorer's probability reaches one half.
 
 Insults of languages that the built-in lists don't know come from a bounded sample of labelled
-rows, where given: at most LABELLED_ROWS of each label, by smallest hash of the id, of texts up to
-LABELLED_CHARS characters, near copies taken once; words that mark toxic texts there form one more
-list for the labellers. Nothing else uses given labels. Equal texts get equal results whatever the
+rows, where given: at most LABELLED_ROWS toxic ones and four times as many others, by smallest hash of
+the id, of texts up to LABELLED_CHARS characters, near copies taken once; words that mark toxic texts
+there, by more than chance over all words looked at, form one more list for the labellers. Nothing else uses given labels. Equal texts get equal results whatever the
 partitioning.
 
 Defined cases: a null or empty text gets no votes, the posterior of that pattern and a score from
@@ -23,7 +23,10 @@ no words. Null ids, repeated rows and further columns are kept. An empty table g
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,9 @@ from claimloom.llm.quality_rules import measure
 
 ABSTAIN, FIT, UNFIT = 0, 1, 2
 TRAIN_ROWS = 1500
-LABELLED_ROWS, LABELLED_CHARS = 3000, 20_000
+LABELLED_ROWS, LABELLED_CHARS = 2500, 20_000
+#: Bits of evidence that a learned word needs beyond one for each doubling of the words looked at.
+SPARE_BITS = 7
 BITS = 14
 _SHAPES = 64
 #: Common insults, nouns and adjectives.
@@ -199,25 +204,43 @@ class Classifier:
         return a, b, 1 - (1 - a) * (1 - b)
 
 
-def learned_words(rows: list[tuple[frozenset[bytes], int]], least: int = 5) -> frozenset[bytes]:
-    """Words of at least ``least`` toxic texts and of eight times fewer others, from (distinct words, toxic) rows.
+_SKETCH = 32
 
-    A row that shares more than half its words with an earlier row of its label is a near copy and isn't counted.
+
+def learned_words(rows: Iterable[tuple[Iterable[bytes], int]], least: int = 5) -> frozenset[bytes]:
+    """Words of at least ``least`` toxic texts and of nine times fewer others, from (distinct words, toxic) rows.
+
+    The binomial bound on a word's counts, by the share of toxic rows, must leave less than 2^-SPARE_BITS words
+    to chance. A row that has half of its rare words among those of smallest hash in common with an earlier row of its label
+    is a near copy and isn't counted.
     """
-    counts: list[dict[bytes, int]] = [{}, {}]
-    holders: dict[tuple[bytes, int], list[int]] = {}
+    ids: defaultdict[bytes, int] = defaultdict(count().__next__)
+    holders: dict[tuple[int, int], list[int]] = {}
+    taken: list[list[np.ndarray]] = [[], []]
     for i, (words, toxic) in enumerate(rows):
+        words = list(words)
+        sketch = sorted(map(zlib.crc32, words))[:_SKETCH]
+        rare = [h for h in sketch if len(holders.get((h, toxic), ())) < _SKETCH]
         shared: dict[int, int] = {}
-        rare = [w for w in words if len(holders.get((w, toxic), ())) < 50]
-        for w in rare:
-            for j in holders.get((w, toxic), ()):
+        for h in rare:
+            for j in holders.get((h, toxic), ()):
                 shared[j] = shared.get(j, 0) + 1
-        if rare and max(shared.values(), default=0) > len(rare) / 2:
+        if rare and 2 * max(shared.values(), default=0) >= len(rare):
             continue
-        for w in words:
-            counts[toxic][w] = counts[toxic].get(w, 0) + 1
-            holders.setdefault((w, toxic), []).append(i)
-    return frozenset(w for w, n in counts[1].items() if n >= least and 8 * counts[0].get(w, 0) <= n)
+        for h in sketch:
+            holders.setdefault((h, toxic), []).append(i)
+        taken[toxic].append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+    share = len(taken[1]) / max(1, len(taken[0]) + len(taken[1]))
+    if not 0 < share < 1:
+        return frozenset()
+    other, toxic = (np.bincount(np.concatenate(t), minlength=len(ids)) for t in taken)
+    often = toxic >= least
+    p = toxic / np.maximum(toxic + other, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bits = toxic * np.log2(p / share) + np.where(other > 0, other * np.log2((1 - p) / (1 - share)), 0)
+    hit = often & (9 * other <= toxic) & (p > share) & (bits >= np.log2(max(1, often.sum())) + SPARE_BITS)
+    names = list(ids)
+    return frozenset(names[i] for i in np.flatnonzero(hit))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = LABELLED_ROWS) -> frozenset[bytes]:
@@ -226,14 +249,14 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id
     picked: list[tuple] = []
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
     for toxic in (1, 0):
-        picked += known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(rows).collect()
+        picked += known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(rows if toxic else 4 * rows).collect()
     if not picked:
         return frozenset()
     sample = F.broadcast(spark.createDataFrame(picked, known.schema))
     words = F.arrow_udf(lambda x: pa.array([b" ".join(sorted(look(v)[1])) for v in binaries(x)], pa.binary()), "binary")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= LABELLED_CHARS).join(sample, "id")
-    found = texts.select("id", "toxic", words(utf8("text")).alias("w")).orderBy("id", "w").collect()  # at most 2 * rows texts, unless ids repeat
-    return learned_words([(frozenset(r.w.split()), r.toxic) for r in found])
+    found = texts.select("id", "toxic", words(utf8("text")).alias("w")).orderBy("id", "w").collect()  # at most 5 * rows texts, unless ids repeat
+    return learned_words((r.w.split(), r.toxic) for r in found)
 
 
 def _patterns(lexicon: frozenset[bytes]):

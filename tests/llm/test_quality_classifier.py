@@ -28,10 +28,17 @@ def test_held_out_accuracy(judged):
 
 def test_learned_words_skip_near_copies():
     copies = [(frozenset(b"a b c d e f g h".split() + [b"x%d" % i]), 1) for i in range(20)]
-    others = [(frozenset([b"bad", b"t%d" % i, b"u%d" % i, b"v%d" % i]), 1) for i in range(6)] + [(frozenset([b"w%d" % i]), 0) for i in range(9)]
+    others = [(frozenset([b"bad", b"t%d" % i, b"u%d" % i, b"v%d" % i]), 1) for i in range(12)] + [(frozenset([b"w%d" % i]), 0) for i in range(90)]
     assert q.learned_words(copies + others) == {b"bad"}
 
 
+def test_no_words_are_learned_from_chance():
+    """Labels that have nothing to do with the words teach nothing, however many rows and words there are."""
+    rng = np.random.default_rng(8)
+    rows = [(frozenset(b"k%d" % x for x in rng.zipf(1.3, 120) % 30_000), int(rng.random() < 0.4)) for _ in range(2500)]
+    assert q.learned_words(rows) == frozenset()
+
+
 def test_query(spark, sf):
     rows = QUERIES["op1_weak_label_quality"](spark, sf)
     assert rows.columns == ["doc_id", "low_quality", "toxic", "score", "unfit", "kept"] and rows.count() == 1000
