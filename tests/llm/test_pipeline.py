@@ -7,13 +7,13 @@ from claimloom.llm import pii
 
 
 def marked(text, spans):
-    """The text with plain string operations."""
+    """The text with plain string operations; overlapping spans are one."""
     rows = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans.split(",") if x))
     out, at = "", 0
     for a, b, k in rows:
         if a >= at:
             out += text[at:a] + pii.MARKS[k]
-            at = -b
+        at = max(at, -b)
     return out + text[at:]
 
 
