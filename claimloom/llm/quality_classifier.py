@@ -298,10 +298,12 @@ def classified(docs: DataFrame, model: Classifier, text_col: str = "text", out:
 
     def judge(text: pa.Array) -> pa.Array:
         m = shared.value
-        seen = [look(x, m.lexicon) for x in binaries(text)]
-        q, t = (np.array([pattern(x, k) for x, _ in seen], np.int64) for k in (QUALITY_LABELLERS, TOXIC_LABELLERS))
+        rows = []
+        for x in binaries(text):  # the words of one text at a time
+            seen, kinds = look(x, m.lexicon)
+            rows.append((pattern(seen, QUALITY_LABELLERS), pattern(seen, TOXIC_LABELLERS), score(features(seen, kinds), m.weights)))
+        q, t, scores = (np.array(c, k) for c, k in zip(zip(*rows) if rows else ((), (), ()), (np.int64, np.int64, float)))
         low, toxic, unfit = m.unfit(q, t)
-        scores = np.array([score(features(*x), m.weights) for x in seen], float)
         both = (unfit + scores) / 2
         return pa.StructArray.from_arrays([pa.array(low), pa.array(toxic), pa.array(scores), pa.array(both), pa.array(both < 0.5)], names=["low_quality", "toxic", "score", "unfit", "kept"])
 
