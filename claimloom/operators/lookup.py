@@ -72,3 +72,9 @@ def chronological(items: DataFrame, by: str, start: str = "start_date", end: str
 def last_attempts(events: DataFrame, key: str, attempt: str, details: str) -> DataFrame:
     """Per key: the number of attempts, the last one and its details."""
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("attempts"), F.max(attempt).alias("last_attempt"), F.max_by(details, attempt).alias("last_details"))
+
+
+def history(events: DataFrame, key: str) -> DataFrame:
+    """(key, history): the events of each key in order of ``pos``, as an array of event and details (a string of JSON)."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "event", "details")))  # a few events for each agent
+    return events.groupBy(key).agg(F.transform(rows, lambda x: F.struct(x["event"].alias("event"), x["details"].alias("details"))).alias("history"))

@@ -156,3 +156,16 @@ def replaced(graph: DataFrame, subject: str, predicate: str, value: str) -> Data
     """graph with all values of a subject's predicate replaced by one literal."""
     kept = graph.filter(~((F.col("s") == subject) & (F.col("p") == predicate))).select(*COLUMNS)
     return kept.union(graph.sparkSession.createDataFrame([(subject, predicate, value, "literal", None, None)], kept.schema))
+
+
+def organization_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """The hierarchy of an RDF/XML vocabulary file, or the built-in one where the file can't be read or holds no class of it."""
+    from claimloom.sources.rdf import read_rdf_xml
+
+    try:
+        graph = read_rdf_xml(spark, path)
+        if graph.filter((F.col("p") == SUB_CLASS) & (F.col("o") == ORGANIZATION)).limit(1).count():
+            return hierarchy(graph)
+    except Exception as error:  # noqa: BLE001 - any failure means the built-in classes
+        spark._jvm.org.apache.log4j.LogManager.getLogger("claimloom").warn(f"{path}: {str(error)[:200]}")
+    return fallback(spark)

@@ -64,3 +64,12 @@ def search(store: DataFrame, query: Sequence[float], k: int | None = 5, kind: st
     use = resolve_kind(kind, available)
     hits = top_k(store.filter(F.col("kind") == use), query, k or 5, id_col="article_id", metric=metric)
     return hits.withColumn("search_type", F.lit(use))
+
+
+def augmented(articles: DataFrame, store: DataFrame, query: Sequence[float], k: int = 3) -> DataFrame:
+    """The k best articles in order, and ``current_article``: the text, else the content, of the best one, else empty."""
+    hits = search(store, query, k).select("article_id", "similarity_score", "search_type")
+    rows = articles.join(F.broadcast(hits), "article_id")  # k rows
+    held = [F.when(F.col(c) != "", F.col(c)) for c in ("text", "content") if c in articles.columns]
+    best = rows.select(F.coalesce(*held, F.lit("")).alias("current_article"), "similarity_score", "article_id").orderBy(F.col("similarity_score").desc_nulls_last(), "article_id").limit(1).select("current_article")
+    return rows.join(F.broadcast(best)).orderBy(F.col("similarity_score").desc_nulls_last(), "article_id")

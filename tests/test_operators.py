@@ -157,3 +157,31 @@ def test_scores(spark):
     s = evaluation.precision_recall(p, "a", "b").first()
     assert (s.tp, s.fp, s.fn, s.precision, s.recall, s.f1) == (1, 1, 1, 0.5, 0.5, 0.5)
     assert evaluation.precision_recall(p.limit(0), "a", "b").first().f1 is None
+
+
+def test_augmented_search(spark):
+    store = spark.createDataFrame([("a", "combined", [1.0, 0.0]), ("b", "combined", [0.0, 1.0])], "article_id string, kind string, embedding array<float>")
+    art = spark.createDataFrame([("a", "", "content a"), ("b", "text b", "")], "article_id string, text string, content string")
+    got = vector.augmented(art, store, [0.9, 0.1]).collect()
+    assert [(r.article_id, r.current_article) for r in got] == [("a", "content a"), ("b", "content a")]
+    assert {r.current_article for r in vector.augmented(art.drop("text", "content"), store, [0.0, 1.0]).collect()} == {""}
+
+
+def test_history(spark):
+    df = spark.createDataFrame([(1, 1, "late", "{}"), (1, 0, "early", '{"n": 1}'), (2, 0, "x", None)], "agent_id int, pos int, event string, details string")
+    assert {r.agent_id: [x.event for x in r.history] for r in lookup.history(df, "agent_id").collect()} == {1: ["early", "late"], 2: ["x"]}
+
+
+def test_taxonomy_source(spark, tmp_path):
+    assert ontology.organization_taxonomy(spark, str(tmp_path / "absent.rdf")).count() == 7
+    (tmp_path / "v.rdf").write_text('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#"><rdfs:Class rdf:about="https://schema.org/Bank"><rdfs:label>Bank</rdfs:label><rdfs:subClassOf rdf:resource="https://schema.org/Organization"/></rdfs:Class></rdf:RDF>')
+    assert {r.name for r in ontology.organization_taxonomy(spark, str(tmp_path / "v.rdf")).collect()} == {"Bank", "Organization"}
+
+
+def test_first_list(spark):
+    from claimloom.functions import jsonladder as j
+
+    one = '[{"agent_name": "A", "utterance_text": "t"}]'
+    df = spark.createDataFrame([(f'{{"results": {one}}}',), (f'{{"claims": {one}, "results": []}}',), ('{"claims": "no"}',), ("{}",)], "a string")
+    got = [len(r.c) for r in df.select(j.first_list(F.try_parse_json("a"), ("claims", "results", "final_claims")).alias("c")).collect()]
+    assert got == [1, 1, 0, 0]
