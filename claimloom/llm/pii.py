@@ -66,6 +66,10 @@ def _blocks(values: Column, step: Column, fold) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda b: fold(F.slice(values, b * step + 1, step)))
 
 
+def _step(values: Column) -> Column:
+    return F.ceil(F.sqrt(F.size(values))).cast("int")
+
+
 def _bound(x: Column, of) -> Column:
     """of(x) with x evaluated once; of gives an array."""
     return F.flatten(F.transform(F.array(x), of))
@@ -80,11 +84,10 @@ def located(text: Column, pattern: str, matches: Column) -> Column:
     Sums before a match are taken by blocks of about the square root of the number of matches.
     """
     gaps = F.split(text, pattern, -1)
-    n = F.size(matches)
-    sizes = F.zip_with(matches, F.slice(gaps, 1, n), lambda m, g: F.char_length(m) + F.char_length(g))
-    step = F.ceil(F.sqrt(n)).cast("int")
 
     def each(x: Column) -> Column:
+        step = _step(x["m"])
+
         def one(m: Column, i: Column) -> Column:
             before, after = F.get(x["g"], i), F.get(x["g"], i + 1)
             start = (_over_blocks(x["s"], i, step, x["b"], _sum) + F.char_length(before)).cast("int")
@@ -100,9 +103,17 @@ def located(text: Column, pattern: str, matches: Column) -> Column:
 
         return F.transform(x["m"], one)
 
-    first = F.struct(matches.alias("m"), gaps.alias("g"), sizes.alias("s"))
-    found = _bound(first, lambda x: _bound(F.struct(x["m"].alias("m"), x["g"].alias("g"), x["s"].alias("s"), _blocks(x["s"], step, _sum).alias("b")), each))
-    return F.when(n > 0, found).otherwise(F.array().cast(LOCATED))
+    def sized(x: Column) -> Column:
+        sizes = F.zip_with(x["m"], F.slice(x["g"], 1, F.size(x["m"])), lambda m, g: F.char_length(m) + F.char_length(g))
+        return _bound(F.struct(x["m"].alias("m"), x["g"].alias("g"), sizes.alias("s")), blocked)
+
+    def blocked(x: Column) -> Column:
+        return _bound(F.struct(x["m"].alias("m"), x["g"].alias("g"), x["s"].alias("s"), _blocks(x["s"], _step(x["m"]), _sum).alias("b")), each)
+
+    # every part is bound before it is used: an expression inside a lambda would be worked out for each element
+    found = _bound(matches, lambda m: F.when(F.size(m) > 0, _bound(F.struct(m.alias("m"), gaps.alias("g")), sized)).otherwise(F.array().cast(LOCATED)))
+    return F.coalesce(found, F.array().cast(LOCATED))
+
 
 
 def _digits(value: Column) -> Column:
@@ -236,20 +247,23 @@ def rewritten(text: Column, all_spans: Column) -> Column:
     fixed-width code points, so a piece costs its own length.
     """
     marks = F.create_map(*[F.lit(x) for k in KINDS for x in (k, MARKS[k])])
-    step = F.ceil(F.sqrt(F.size(all_spans))).cast("int")
     furthest = lambda ends: F.coalesce(F.array_max(ends), F.lit(0))
 
     def pieces(x: Column) -> Column:
+        step = _step(x["s"])
         placed = F.transform(x["s"], lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), _over_blocks(x["e"], i, step, x["b"], furthest).alias("before")))
         heads = F.filter(placed, lambda h: h["start"] >= h["before"])
         piece = lambda a, b: F.decode(F.substring(x["t"], a * 4 + 1, (b - a) * 4), "UTF-32")
         shown = F.transform(heads, lambda h: F.concat(piece(h["before"], h["start"]), F.element_at(marks, h["kind"])))
         return F.concat(shown, F.array(piece(furthest(x["e"]), F.char_length(text))))
 
-    ends = F.transform(all_spans, lambda s: -s["less"])
-    first = F.struct(all_spans.alias("s"), ends.alias("e"), F.encode(text, "UTF-32").alias("t"))
-    bound = _bound(first, lambda x: _bound(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _blocks(x["e"], step, furthest).alias("b")), pieces))
-    return F.array_join(bound, "")
+    def ended(s: Column) -> Column:
+        return _bound(F.struct(s.alias("s"), F.transform(s, lambda y: -y["less"]).alias("e"), F.encode(text, "UTF-32").alias("t")), blocked)
+
+    def blocked(x: Column) -> Column:
+        return _bound(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _blocks(x["e"], _step(x["s"]), furthest).alias("b")), pieces)
+
+    return F.array_join(_bound(all_spans, ended), "")
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
