@@ -40,7 +40,7 @@ def unique_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct claims numbered within their article."""
-    return c.ordinals(claim_table(spark, sf_dir)).select("article_id", F.md5(F.col("utterance_text").cast("binary")).alias("text_md5"), "agent_name", "first_pos", "n")
+    return c.ordinals(claim_table(spark, sf_dir)).select("article_id", F.md5(F.col("utterance_text").cast("binary")).alias("text_md5"), "agent_name", "first_pos", F.col("n").cast("bigint").alias("n"))
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def chrono_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as positions held, the running ones first."""
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderpriority") != "1-URGENT", date).alias("start_date"), F.when(F.col("o_orderstatus") != "O", date).alias("end_date"))
-    return lookup.chronological(rows, "o_custkey").select("o_custkey", "pos", "rank")
+    return lookup.chronological(rows, "o_custkey").select("o_custkey", "pos", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
