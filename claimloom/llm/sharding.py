@@ -34,7 +34,7 @@ SHARDS = 24
 ROUNDS = 8
 KEY = ["hash", "text_crc32", "size"]
 #: Rows of a group that are ranked together.
-PART = 2048
+PART = 512
 _CHUNK_ROWS = 4096
 
 
