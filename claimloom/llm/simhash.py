@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import near_copies
 from claimloom.llm.common import binaries, stored, unused, utf8, word_slices
 from claimloom.llm.components import components
 
@@ -281,13 +282,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = near_copies.WIDTH) -> DataFrame:
     """docs without the documents of a class other than the one with its smallest id.
 
+    Classes are those of near_copies, verified on shingles, not those of ``classes``.
     Rows without an id are kept: nothing says which of a class they are. A repeated id is kept once.
     """
-    own, by_fp = _classes(docs, id_col, text_col, width, BUCKET)
-    first = by_fp.select(F.col("component_id").alias("__keep")).filter("__keep is not null").distinct()
+    own, by_key = near_copies.sketched(docs, id_col, text_col, width)
+    first = by_key.select(F.col("component_id").alias("__keep")).filter("__keep is not null").distinct()
     kept = docs.join(first, F.col(id_col) == F.col("__keep"), "left_semi")
     ids = own.filter("doc_id is not null").groupBy("doc_id").count()
     if ids.filter("count > 1").limit(1).count():
