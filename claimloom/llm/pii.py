@@ -9,8 +9,8 @@ Built from DataFrame and SQL functions only.
    next match of its kind's pattern. Over all documents, n(e) have the identifier e, n(t) have the term t anywhere, and n(e, t) have t
    beside e. The information that t gives on e is PMI = log2(n(e, t) N / (n(e) n(t))), at most
    the information content IC = log2(N / n(e)) of e itself.
-3. Where t stands beside e in at least SUPPORT different texts and PMI / IC is at least GENERALISE, t is
-   generalised beside e; from REMOVE on it is removed.
+3. Where PMI / IC is at least GENERALISE, t is generalised beside e; from REMOVE on it is removed. One text is
+   enough: an identifier that stands in a single one is disclosed by every rare term beside it.
 
 ``spans`` gives all spans of a document, ``sanitised`` rewrites the texts. Work grows with a text's length and
 with its identifiers to the power 1.5 at most.
@@ -31,7 +31,6 @@ from claimloom.llm.common import stored, unused
 
 NEAR = 4
 REACH = 64
-SUPPORT = 3
 GENERALISE, REMOVE = 0.75, 0.9
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "general", "remove")
@@ -199,9 +198,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = stored(slim)
     total = rows.count()
     having = rows.filter(F.col("key").isNotNull())
-    # copies add documents but no support
-    pairs = having.select("key", F.explode(F.array_distinct(F.transform("beside", lambda b: F.struct(b["entity"].alias("entity"), b["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term", "key").agg(F.count(F.lit(1)).alias("n"))
-    pairs = stored(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).filter(F.col("n_texts") >= SUPPORT))
+    pairs = having.select(F.explode(F.array_distinct(F.transform("beside", lambda b: F.struct(b["entity"].alias("entity"), b["term"].alias("term"))))).alias("p"))
+    pairs = stored(pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both")))
     n_entity = having.select(F.explode(F.array_distinct("entities")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     every = bare.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n_term = every.join(pairs.select("term").distinct(), "term")
@@ -209,7 +207,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
     pmi = content + F.log2(F.col("n_both") / F.greatest("n_term", "n_both"))
     ratio = F.when(F.col("n_entity") < total, pmi / content)
-    disclosing = stored(known.withColumn("disclosure", ratio).filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "n_both", "n_texts", "n_entity", "n_term", "disclosure"))
+    disclosing = stored(known.withColumn("disclosure", ratio).filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "n_both", "n_entity", "n_term", "disclosure"))
     places = having.select("key", F.inline("beside")).distinct().join(disclosing.select("entity", "term", "disclosure"), ["entity", "term"])
     by_place = places.groupBy("key", "start", "end").agg(F.max("disclosure").alias("d"))
     # at most 2 * NEAR terms for each identifier of one text
