@@ -4,16 +4,17 @@ Built from DataFrame and SQL functions only.
 
 1. Identifiers (email, ip, card, phone) are the leftmost non-overlapping matches of each kind's
    pattern that pass its test; positions are sums of the lengths of gaps and matches.
-2. A term is a run of three or more letters that touches no letter, digit or character of addresses. Those
-   beside an identifier are the NEAR terms closest to it on either side, up to REACH characters and to the
-   next match of its kind's pattern. Over all documents, n(e) have the identifier e, n(t) have the term t anywhere, and n(e, t) have t
-   beside e. The information that t gives on e is PMI = log2(n(e, t) N / (n(e) n(t))), at most
-   the information content IC = log2(N / n(e)) of e itself.
-3. Where PMI / IC is at least GENERALISE, t is generalised beside e; from REMOVE on it is removed. One text is
-   enough: an identifier that stands in a single one is disclosed by every rare term beside it.
-
-``spans`` gives all spans of a document, ``sanitised`` rewrites the texts. Work grows with a text's length and
-with its identifiers to the power 1.5 at most.
+2. A term is a run of three or more letters that touches no letter, digit or character of addresses. Over all
+   documents, n(e) have the identifier e, n(t) have the term t, and n(e, t) have both, wherever they stand.
+   The information that t gives on e is PMI = log2(n(e, t) N / (n(e) n(t))), at most the information
+   content IC = log2(N / n(e)) of e itself. Identifiers that stand in the same texts have the same counts
+   and are counted as one.
+3. Where PMI / IC is at least GENERALISE, t is generalised wherever it stands in the texts that hold e; from
+   REMOVE on it is removed there. One text is enough: an identifier that stands in a single one is disclosed
+   by every rare term of it.
+
+``spans`` gives all spans of a document, ``sanitised`` rewrites the texts. Work grows with a text's terms by sorting,
+with its identifiers to the power 1.5 at most, and with the terms of each text times the groups of its identifiers.
 
 Defined cases: a null text has no spans and stays null. Null ids, repeated rows and further columns are
 kept: results are joined by a digest of the text, never by id. Equal texts get equal spans. An
@@ -24,13 +25,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import stored, unused
 
-NEAR = 4
-REACH = 64
 GENERALISE, REMOVE = 0.75, 0.9
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "general", "remove")
@@ -74,11 +73,11 @@ def _bound(x: Column, of) -> Column:
     return F.flatten(F.transform(F.array(x), of))
 
 
-LOCATED = "array<struct<start:int,end:int,value:string,left:string,left_cut:boolean,right:string,right_cut:boolean>>"
+LOCATED = "array<struct<start:int,end:int,value:string>>"
 
 
 def located(text: Column, pattern: str, matches: Column) -> Column:
-    """A pattern's matches, given as strings, with code-point places and what stands on either side up to the next match.
+    """A pattern's matches, given as strings, with code-point places.
 
     Sums before a match are taken by blocks of about the square root of the number of matches.
     """
@@ -88,17 +87,8 @@ def located(text: Column, pattern: str, matches: Column) -> Column:
         step = _step(x["m"])
 
         def one(m: Column, i: Column) -> Column:
-            before, after = F.get(x["g"], i), F.get(x["g"], i + 1)
-            start = (_over_blocks(x["s"], i, step, x["b"], _sum) + F.char_length(before)).cast("int")
-            return F.struct(
-                start.alias("start"),
-                (start + F.char_length(m)).alias("end"),
-                m.alias("value"),
-                F.right(before, F.lit(REACH)).alias("left"),
-                (F.char_length(before) > REACH).alias("left_cut"),
-                F.left(after, F.lit(REACH)).alias("right"),
-                (F.char_length(after) > REACH).alias("right_cut"),
-            )
+            start = (_over_blocks(x["s"], i, step, x["b"], _sum) + F.char_length(F.get(x["g"], i))).cast("int")
+            return F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("value"))
 
         return F.transform(x["m"], one)
 
@@ -151,32 +141,25 @@ def identified(docs: DataFrame, text_col: str, names: dict[str, str]) -> DataFra
 
 
 def _mentions(names: dict[str, str]) -> Column:
-    """array<struct<kind, start, end, entity, left, left_cut, right, right_cut>> in the order of BASE, then of start."""
+    """array<struct<kind, start, end, entity>> in the order of BASE, then of start."""
     plain = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digits}
-    sides = ("left", "left_cut", "right", "right_cut")
 
     def of(k: str):
-        return lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(F.lit(k), plain[k](x["value"])).alias("entity"), *[x[s].alias(s) for s in sides])
+        return lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(F.lit(k), plain[k](x["value"])).alias("entity"))
 
     return F.concat(*[F.transform(names[k], of(k)) for k in BASE])
 
 
-def _terms(context: Column, shift: Column, left: bool, cut: Column) -> Column:
-    """The NEAR terms of a context string that lie closest to the identifier; a word at a cut edge is left out."""
-    all_terms = located(context, TERM, F.regexp_extract_all(context, F.lit(TERM), F.lit(0)))
-    whole = F.filter(all_terms, lambda t: ~cut | ((t["start"] > 0) if left else (t["end"] < F.char_length(context))))
-    near = F.slice(whole, F.greatest(F.size(whole) - NEAR + 1, F.lit(1)), F.lit(NEAR)) if left else F.slice(whole, 1, NEAR)
-    return F.transform(near, lambda t: F.struct((t["start"] + shift).alias("start"), (t["end"] + shift).alias("end"), F.lower(t["value"]).alias("term")))
-
-
-def _beside(mentions: str) -> Column:
-    """array<struct<entity, term, start, end>>: terms beside each identifier; none can overlap one."""
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
-    def of(m: Column) -> Column:
-        terms = F.concat(_terms(m["left"], m["start"] - F.char_length(m["left"]), True, m["left_cut"]), _terms(m["right"], m["end"], False, m["right_cut"]))
-        return F.transform(terms, lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
 
-    return F.flatten(F.transform(mentions, of))
+def _placed(texts: DataFrame) -> DataFrame:
+    """(key, term, start, end): every term of every text, columns key and text; keys are distinct."""
+    cut = texts.select("key", _terms(F.col("text")).alias("m"), F.split("text", TERM, -1).alias("g"))
+    each = cut.select("key", F.posexplode(F.zip_with("m", F.slice("g", 1, F.size("m")), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("gap")))).alias("i", "x"))
+    upto = F.sum(F.col("x.gap") + F.char_length("x.m")).over(Window.partitionBy("key").orderBy("i")).cast("int")
+    return each.select("key", F.lower("x.m").alias("term"), (upto - F.char_length("x.m")).alias("start"), upto.alias("end"))
 
 
 @dataclass(frozen=True)
@@ -189,28 +172,36 @@ class Detected:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Detected:
-    """Identifiers of all documents, and the disclosing terms beside them."""
+    """Identifiers of all documents, and the disclosing terms of the texts that hold them."""
     bare = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = {k: k for k in BASE}
     df = identified(bare, "text", names).withColumn("mentions", _mentions(names))
-    df = df.withColumn("beside", F.when(F.size("mentions") > 0, _beside("mentions")))
-    slim = df.select("doc_id", *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE], F.when(F.size("mentions") > 0, F.md5(F.col("text").cast("binary"))).alias("key"), F.transform("mentions", lambda m: m["entity"]).alias("entities"), "beside")
+    held = lambda c: F.when(F.size("mentions") > 0, c)
+    slim = df.select("doc_id", *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE], held(F.md5(F.col("text").cast("binary"))).alias("key"), held(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entities"), held(F.col("text")).alias("text"))
     rows = stored(slim)
     total = rows.count()
     having = rows.filter(F.col("key").isNotNull())
-    pairs = having.select(F.explode(F.array_distinct(F.transform("beside", lambda b: F.struct(b["entity"].alias("entity"), b["term"].alias("term"))))).alias("p"))
-    pairs = stored(pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both")))
-    n_entity = having.select(F.explode(F.array_distinct("entities")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    every = bare.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # copies are one text with a number of documents
+    texts = stored(having.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text"), F.min("entities").alias("entities")))
+    places = stored(_placed(texts.select("key", "text")))
+    holders = texts.select("key", "n", F.explode("entities").alias("entity"))
+    # the same texts: equal numbers and equal sums of two hashes
+    sums = [F.sum(F.xxhash64("key", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+    entities = holders.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"), *sums)
+    entities = entities.select("entity", "n_entity", F.xxhash64("texts", "s0", "s1").alias("group"))
+    held_by = stored(holders.join(entities, "entity").select("key", "n", "group", "n_entity").distinct())
+    within = places.select("key", "term").distinct()
+    pairs = stored(within.join(held_by, "key").groupBy("group", "n_entity", "term").agg(F.sum("n").alias("n_both")))
+    every = bare.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text")), F.lower))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     n_term = every.join(pairs.select("term").distinct(), "term")
-    known = pairs.join(n_entity, "entity").join(n_term, "term")
+    known = pairs.join(n_term, "term")
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    pmi = content + F.log2(F.col("n_both") / F.greatest("n_term", "n_both"))
+    pmi = content + F.log2(F.col("n_both") / F.col("n_term"))
     ratio = F.when(F.col("n_entity") < total, pmi / content)
-    disclosing = stored(known.withColumn("disclosure", ratio).filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "n_both", "n_entity", "n_term", "disclosure"))
-    places = having.select("key", F.inline("beside")).distinct().join(disclosing.select("entity", "term", "disclosure"), ["entity", "term"])
-    by_place = places.groupBy("key", "start", "end").agg(F.max("disclosure").alias("d"))
-    # at most 2 * NEAR terms for each identifier of one text
+    disclosing = stored(known.withColumn("disclosure", ratio).filter(F.col("disclosure") >= GENERALISE).select("group", "term", "n_both", "n_entity", "n_term", "disclosure"))
+    by_term = within.join(held_by, "key").join(disclosing.select("group", "term", "disclosure"), ["group", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("d"))
+    by_place = places.join(by_term, ["key", "term"])
+    # at most the terms of one text
     added = stored(by_place.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.when(F.col("d") >= REMOVE, "remove").otherwise("general").alias("kind")))).alias("added")))
     return Detected(rows, added, disclosing)
 
