@@ -6,14 +6,16 @@ frames a second, every frame whole by itself, with an ``idx1`` index. Payloads o
 PART bytes become several RIFF chunks in a row.
 
 ``parse`` walks the RIFF chunks and takes frames from ``idx1`` (offsets from the list or from the
-file), or by walking ``movi`` where there is no index. ``levels`` decodes frames to the means of
-their blocks: frames with equal tables and flat blocks together, block by block in numpy, others by
-a plain baseline decoder (Huffman tables of the frame or the standard's, several components,
-restarts). ``shots`` cuts where the histogram difference of two frames is a local peak above one and
-a half times the mean of its neighbours plus FLOOR.
+file), or by walking ``movi`` where there is no index. ``decoded`` gives each frame's pixels: frames
+with equal tables and flat blocks are read together, block by block in numpy (each pixel of such a
+block has the block's level), others by a plain baseline decoder (Huffman tables of the frame or the
+standard's, several components, restarts) and the inverse cosine transform. ``shots`` cuts where the
+difference of two frames' histograms of pixels is a local peak above one and a half times the mean of its
+neighbours plus FLOOR. ``clips`` gives the timed rows, and so does the column ``clips`` of ``described``.
 
 Defined cases: a null or empty text is 64 zero bytes, one frame and one clip. Equal texts give equal
-values. Null ids, repeated rows and further columns are kept. No rows give no rows.
+values. A very long text is several RIFF chunks of one file. Peaks of equal height side by side: the first
+cuts. Null ids and repeated rows are kept; further columns aren't read, whatever their names. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -393,8 +396,47 @@ def coefficients(data: bytes) -> tuple[dict, np.ndarray]:
     return info, out
 
 
-def levels(avi: bytes | list[bytes]) -> list[np.ndarray]:
-    """For each file, (frames, blocks) means of the first component's blocks, 0 to 255."""
+_COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+
+
+def pixels(data: bytes) -> np.ndarray:
+    """A baseline frame's first component, (height, width) of samples 0 to 255, by the inverse cosine transform of its blocks."""
+    info, blocks = coefficients(data)
+    rows, columns, _ = blocks.shape
+    spatial = _COSINES.T @ blocks.reshape(rows, columns, 8, 8) @ _COSINES
+    whole = np.clip(np.rint(spatial + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * columns)
+    (_, h, v, _), parts = info["parts"][0], info["parts"]
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    if len(parts) == 1:
+        h = v = across = down = 1
+    return whole[: -(-info["height"] * v // down), : -(-info["width"] * h // across)]
+
+
+def _histogram(samples: np.ndarray) -> np.ndarray:
+    return np.bincount(samples.ravel() >> 4, minlength=BINS)
+
+
+@dataclass(frozen=True)
+class Frames:
+    """samples: (frames, blocks) means of the first component's blocks, where all are flat, else None; histograms: (frames, BINS) of pixels; means: of pixels."""
+
+    samples: np.ndarray | None
+    histograms: np.ndarray
+    means: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.histograms)
+
+
+def _flat(samples: np.ndarray) -> Frames:
+    """Frames of flat blocks: every block is 64 pixels of its level."""
+    n = len(samples)
+    bins = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
+    return Frames(samples, 64 * bins, samples.mean(axis=1))
+
+
+def decoded(avi: bytes | list[bytes]) -> list[Frames]:
+    """The frames of each file."""
     files = [avi] if isinstance(avi, bytes) else avi
     places = [parse(a) for a in files]
     raw = np.frombuffer(b"".join(files), np.uint8)
@@ -415,24 +457,26 @@ def levels(avi: bytes | list[bytes]) -> list[np.ndarray]:
         b = a + len(p)
         if plain[a:b].any():
             rows = []
-            for k in range(a, b):
-                dc = coefficients(raw[at[k] : at[k] + size[k]].tobytes())[1][:, :, 0].ravel() if plain[k] else out[k]
-                rows.append(np.clip(np.rint(dc / 8 + 128), 0, 255).astype(np.uint8) if plain[k] else dc)
-            width = max(map(len, rows))
-            found.append(np.stack([np.pad(r, (0, width - len(r)), "edge") for r in rows]))
+            for k in range(a, b):  # the pixels of one frame at a time
+                if plain[k]:
+                    seen = pixels(raw[at[k] : at[k] + size[k]].tobytes())
+                    rows.append((_histogram(seen), seen.mean()))
+                else:
+                    rows.append((64 * _histogram(out[k]), out[k].mean()))
+            found.append(Frames(None, np.stack([h for h, _ in rows]), np.array([m for _, m in rows])))
         else:
-            found.append(out[a:b])
+            found.append(_flat(out[a:b]))
         a = b
     return found
 
 
-def shots(frames: np.ndarray) -> np.ndarray:
-    """Where shots start, 0 first, from block means (frames, blocks)."""
-    n = len(frames)
+def shots(histograms: np.ndarray) -> np.ndarray:
+    """Where shots start, 0 first, from histograms (frames, BINS) of pixels."""
+    n = len(histograms)
     if n < 3:
         return np.zeros(min(n, 1), np.int64)
-    bins = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    d = np.abs(np.diff(bins, axis=0)).sum(axis=1) // 2  # d[i]: between frames i and i + 1
+    # in 64ths of a frame's pixels: frames of any size weigh alike
+    d = np.abs(np.diff(histograms * 64 / np.maximum(histograms.sum(axis=1, keepdims=True), 1), axis=0)).sum(axis=1) / 2  # d[i]: between frames i and i + 1
     total, m = np.append(0, np.cumsum(d)), len(d)
     low, high = np.maximum(np.arange(m) - REACH, 0), np.minimum(np.arange(m) + REACH + 1, m)
     around, count = total[high] - total[low] - d, high - low - 1
@@ -445,7 +489,13 @@ def payload(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % SAMPLES or (0 if text else SAMPLES))
 
 
-_FIELDS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+_FIELDS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "clips": pa.string()}
+
+
+def timed(frames: Frames) -> list[tuple[int, int, int, int, float]]:
+    """(start_frame, end_frame, start_ms, end_ms, mean) of each shot; ends are exclusive."""
+    cuts = [*shots(frames.histograms).tolist(), len(frames)]
+    return [(a, b, a * 1000 // FPS, b * 1000 // FPS, float(frames.means[a:b].mean())) for a, b in zip(cuts, cuts[1:])]
 
 
 def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -463,15 +513,16 @@ def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
 def _described(texts: list[bytes]) -> list[tuple]:
     media = stored([payload(t) for t in texts])
     out = []
-    for t, avi, samples in zip(texts, media, levels(media)):
-        back, cuts = samples.tobytes(), shots(samples)
-        feature = f"frames={len(samples)};clips={len(cuts)};starts={','.join(map(str, cuts.tolist()))};mean={int(samples.sum(dtype=np.int64)) * 100 // samples.size}"
-        out.append((len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-SAMPLES:]), len(avi), hashlib.sha256(avi).hexdigest(), feature))
+    for t, avi, frames in zip(texts, media, decoded(media)):
+        samples, found = frames.samples, timed(frames)
+        back = samples.tobytes()
+        feature = f"frames={len(samples)};clips={len(found)};starts={','.join(str(c[0]) for c in found)};mean={int(samples.sum(dtype=np.int64)) * 100 // samples.size}"
+        out.append((len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-SAMPLES:]), len(avi), hashlib.sha256(avi).hexdigest(), feature, ",".join(f"{a}-{b}" for _, _, a, b, _ in found)))
     return out
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, sizes and digests of its payload as read back and of the file, and the feature string."""
+    """Per document: doc_id, sizes and digests of its payload as read back and of the file, the feature string, and its clips (milliseconds)."""
 
     def of(text: pa.Array) -> pa.Array:
         rows = [r for g in _groups(binaries(text)) for r in _described(g)]
@@ -498,9 +549,8 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     def of(column: pa.Array) -> pa.Array:
         out = []
         for avi in column.to_pylist():
-            frames = levels(avi)[0] if avi else np.zeros((0, 1), np.uint8)
-            cuts = [*shots(frames).tolist(), len(frames)]
-            out.append([{"clip": i, "start_frame": a, "end_frame": b, "start_ms": a * 1000 // FPS, "end_ms": b * 1000 // FPS, "mean": float(frames[a:b].mean())} for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+            found = timed(decoded(avi)[0]) if avi else []
+            out.append([dict(zip(("clip", "start_frame", "end_frame", "start_ms", "end_ms", "mean"), (i, *c))) for i, c in enumerate(found)])
         kind = pa.struct([("clip", pa.int32()), ("start_frame", pa.int64()), ("end_frame", pa.int64()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("mean", pa.float64())])
         return pa.array(out, pa.list_(kind))
 
