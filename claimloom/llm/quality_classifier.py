@@ -1,7 +1,8 @@
 """A quality classifier from weak labels: heuristics vote, EM weighs them, posteriors train a scorer.
 
 1. Overlapping heuristic labellers look at a whole text once and vote unfit, fit or nothing, for two
-   questions: low quality and toxicity. A document's votes are one small integer per question.
+   questions: low quality and toxicity. A document's votes are one small integer per question, stored
+   with its hashed features; nothing reads the texts again.
 2. The votes of all documents are counted by pattern (at most 3^labellers rows reach the driver)
    and expectation-maximisation estimates the prior and each labeller's rates of each vote among
    fit and unfit documents, hence a posterior for every pattern.
@@ -10,23 +11,23 @@
 4. Each document gets its posteriors and the scorer's probability; it is rejected where the mean of
    the posterior that it is unfit and the scorer's probability reaches one half.
 
-Insults of languages that the built-in lists don't know come from a bounded sample of labelled
-rows, where given: at most LABELLED_ROWS toxic ones and four times as many others, by smallest hash of
-the id, of texts up to LABELLED_CHARS characters, near copies taken once; words that mark toxic texts
-there, by more than chance over all words looked at, form one more list for the labellers. Nothing else uses given labels. Equal texts get equal results whatever the
-partitioning.
+The words that the toxicity labellers look for are learnt, with no built-in list, from a bounded sample of
+labelled rows: at most LABELLED_ROWS toxic ones and four times as many others, by smallest hash of the id,
+texts of any length, near copies taken once. Words, and beginnings of words, that mark toxic texts there by
+more than chance over all words looked at form two lists. Nothing else uses given labels; without labels
+no text is held toxic. Equal texts get equal results whatever the partitioning.
 
 Defined cases: a null or empty text gets no votes, the posterior of that pattern and a score from
-no words. Null ids, repeated rows and further columns are kept. An empty table gives no rows.
+no words. A very long text is read in slices. Of texts of equal hash at the sample's edge, all are one text.
+Of a labelled id that repeats, the text of smallest digest is looked at. Null ids, repeated rows and further
+columns are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,13 @@ from claimloom.llm.quality_rules import measure
 
 ABSTAIN, FIT, UNFIT = 0, 1, 2
 TRAIN_ROWS = 1500
-LABELLED_ROWS, LABELLED_CHARS = 2500, 20_000
+LABELLED_ROWS = 2500
+#: Bytes of a word's beginning.
+STEM = 6
 #: Bits of evidence that a learned word needs beyond one for each doubling of the words looked at.
 SPARE_BITS = 7
 BITS = 14
 _SHAPES = 64
-#: Common insults, nouns and adjectives.
-INSULTS = frozenset(b"idiot idiots moron morons imbecile loser losers scum trash clown clowns filth vermin parasite parasites fool fools dimwit jerk creep bastard".split())
-CONTEMPT = frozenset(b"stupid pathetic worthless disgusting dumb ugly despicable repulsive idiotic moronic brainless useless hateful".split())
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
@@ -66,26 +66,32 @@ class Looks:
     marks: int
     shouts: int
     ends: int
-    insults: int
-    contempt: int
     learned: int
+    uses: int
+    stems: int
 
 
-def look(text: bytes, lexicon: frozenset[bytes] = frozenset()) -> tuple[Looks, set[bytes]]:
+@dataclass(frozen=True)
+class Lexicon:
+    """Words and beginnings of words that mark toxic texts."""
+
+    words: frozenset[bytes] = frozenset()
+    stems: frozenset[bytes] = frozenset()
+
+
+def look(text: bytes, lexicon: Lexicon = Lexicon()) -> tuple[Looks, set[bytes]]:
     """What there is to see, and the text's distinct lower-case words of letters."""
     lower = text.lower().translate(_LETTERS)
     kinds: set[bytes] = set()
-    insults = contempt = 0
+    uses = 0
     for words in word_slices(lower):
         new = set(words)
         kinds |= new
-        if not new.isdisjoint(INSULTS):
-            insults += sum(w in INSULTS for w in words)
-        if not new.isdisjoint(CONTEMPT):
-            contempt += sum(w in CONTEMPT for w in words)
+        if not new.isdisjoint(lexicon.words):
+            uses += sum(w in lexicon.words for w in words)
     m = measure(text)
     marks = len(text) - len(text.translate(None, _MARKS))
-    return Looks(*m, len(kinds), marks, text.count(b"!"), text.count(b". ") + text.count(b".\n") + text.endswith(b"."), insults, contempt, len(lexicon & kinds)), kinds
+    return Looks(*m, len(kinds), marks, text.count(b"!"), text.count(b". ") + text.count(b".\n") + text.endswith(b"."), len(lexicon.words & kinds), uses, sum(w[:STEM] in lexicon.stems for w in kinds) if lexicon.stems else 0), kinds
 
 
 #: (name, unfit where, fit where); the order fixes the digits of a pattern.
@@ -99,11 +105,11 @@ QUALITY_LABELLERS = (
     ("prose", None, lambda x: 10 * x.symbols <= x.words if x.words < 20 else x.ends and x.words < 60 * x.ends and 100 * x.upper < 20 * x.letters and 25 * x.symbols < x.words),
 )
 TOXIC_LABELLERS = (
-    ("insults", lambda x: x.insults > 0, None),
-    ("contempt", lambda x: x.contempt > 0, None),
-    ("learned", lambda x: x.learned > 0, None),
-    ("often", lambda x: x.insults + x.contempt > 1 or x.learned > 1, None),
-    ("mild", None, lambda x: not x.insults and not x.contempt and not x.learned),
+    ("words", lambda x: x.learned > 0, None),
+    ("several", lambda x: x.learned > 1, None),
+    ("often", lambda x: x.uses > 2 or 100 * x.uses > x.words, None),
+    ("stems", lambda x: x.stems > 0, None),
+    ("mild", None, lambda x: not x.learned and not x.stems),
 )
 
 
@@ -161,7 +167,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, n: int, rounds: int = 10
 def features(looks: Looks, kinds: set[bytes]) -> np.ndarray:
     """The distinct hashed features of a text, ascending: shape marks below _SHAPES, words above."""
     level = lambda a, b: min(7, int(np.ceil(np.log2(1 + 64 * a / b)))) if b else 0
-    shapes = [8 * i + level(a, b) for i, (a, b) in enumerate(((looks.symbols, looks.words), (looks.marks, 4 * looks.words), (looks.repeated, looks.words), (looks.upper, looks.letters), (looks.shouts, looks.words), (looks.duplicate_lines, looks.lines), (looks.insults + looks.contempt + looks.learned, 1), (looks.ends, looks.words)))]
+    shapes = [8 * i + level(a, b) for i, (a, b) in enumerate(((looks.symbols, looks.words), (looks.marks, 4 * looks.words), (looks.repeated, looks.words), (looks.upper, looks.letters), (looks.shouts, looks.words), (looks.duplicate_lines, looks.lines), (looks.learned + looks.stems, 1), (looks.ends, looks.words)))]
     room = (1 << BITS) - _SHAPES
     return np.array(sorted({*shapes, *(_SHAPES + zlib.crc32(w) % room for w in kinds)}), np.uint16)
 
@@ -197,7 +203,7 @@ class Classifier:
     quality: VoteModel
     toxic: VoteModel
     weights: np.ndarray
-    lexicon: frozenset[bytes] = frozenset()
+    lexicon: Lexicon = Lexicon()
 
     def unfit(self, q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.quality.posterior(q), self.toxic.posterior(t)
@@ -207,118 +213,143 @@ class Classifier:
 _SKETCH = 32
 
 
-def learned_words(rows: Iterable[tuple[Iterable[bytes], int]], least: int = 5) -> frozenset[bytes]:
-    """Words of at least ``least`` toxic texts and of nine times fewer others, from (distinct words, toxic) rows.
+def sketched(words: Iterable[bytes]) -> list[int]:
+    return sorted(map(zlib.crc32, words))[:_SKETCH]
 
-    The binomial bound on a word's counts, by the share of toxic rows, must leave less than 2^-SPARE_BITS words
-    to chance. A row that has half of its rare words among those of smallest hash in common with an earlier row of its label
-    is a near copy and isn't counted.
-    """
-    ids: defaultdict[bytes, int] = defaultdict(count().__next__)
+
+def no_copies(rows: Iterable[tuple[list[int], int]]) -> list[bool]:
+    """For (sketch, toxic) rows: False where half of a row's rare words among those of smallest hash are in an earlier row of its label."""
     holders: dict[tuple[int, int], list[int]] = {}
-    taken: list[list[np.ndarray]] = [[], []]
-    for i, (words, toxic) in enumerate(rows):
-        words = list(words)
-        sketch = sorted(map(zlib.crc32, words))[:_SKETCH]
+    out = []
+    for i, (sketch, toxic) in enumerate(rows):
         rare = [h for h in sketch if len(holders.get((h, toxic), ())) < _SKETCH]
         shared: dict[int, int] = {}
         for h in rare:
             for j in holders.get((h, toxic), ()):
                 shared[j] = shared.get(j, 0) + 1
-        if rare and 2 * max(shared.values(), default=0) >= len(rare):
-            continue
-        for h in sketch:
-            holders.setdefault((h, toxic), []).append(i)
-        taken[toxic].append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-    share = len(taken[1]) / max(1, len(taken[0]) + len(taken[1]))
-    if not 0 < share < 1:
-        return frozenset()
-    other, toxic = (np.bincount(np.concatenate(t), minlength=len(ids)) for t in taken)
-    often = toxic >= least
+        out.append(not rare or 2 * max(shared.values(), default=0) < len(rare))
+        if out[-1]:
+            for h in sketch:
+                holders.setdefault((h, toxic), []).append(i)
+    return out
+
+
+def telling(toxic: np.ndarray, other: np.ndarray, often: int, share: float) -> np.ndarray:
+    """Of words with their numbers of toxic and other texts, those that have nine times fewer others, beyond chance.
+
+    The binomial bound on a word's counts, by the share of toxic rows, must leave less than 2^-SPARE_BITS of
+    the ``often`` words looked at to chance.
+    """
     p = toxic / np.maximum(toxic + other, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         bits = toxic * np.log2(p / share) + np.where(other > 0, other * np.log2((1 - p) / (1 - share)), 0)
-    hit = often & (9 * other <= toxic) & (p > share) & (bits >= np.log2(max(1, often.sum())) + SPARE_BITS)
-    names = list(ids)
-    return frozenset(names[i] for i in np.flatnonzero(hit))
+    return (9 * other <= toxic) & (p > share) & (bits >= np.log2(max(1, often)) + SPARE_BITS)
+
 
+_SEEN = "sketch array<bigint>, marks array<binary>"
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = LABELLED_ROWS) -> frozenset[bytes]:
-    """The toxic words of a bounded sample of labelled documents; labels has the id and ``toxic``."""
-    spark = docs.sparkSession
+
+def _seen(text: pa.Array) -> pa.Array:
+    """A text's sketch, and its distinct words ("w" before each) and their beginnings ("s" before each)."""
+    sketches, marks = [], []
+    for x in binaries(text):
+        kinds = look(x)[1]
+        sketches.append(sketched(kinds))
+        marks.append(sorted({b"w" + w for w in kinds} | {b"s" + w[:STEM] for w in kinds if len(w) >= STEM}))
+    return pa.StructArray.from_arrays([pa.array(sketches, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.binary()))], names=["sketch", "marks"])
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = LABELLED_ROWS, least: int = 5) -> Lexicon:
+    """The toxic words of a bounded sample of labelled documents; labels has the id and ``toxic``. Words need ``least`` toxic texts."""
+    spark, folder = docs.sparkSession, workspace(docs.sparkSession)
     picked: list[tuple] = []
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
     for toxic in (1, 0):
         picked += known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(rows if toxic else 4 * rows).collect()
     if not picked:
-        return frozenset()
+        return Lexicon()
     sample = F.broadcast(spark.createDataFrame(picked, known.schema))
-    words = F.arrow_udf(lambda x: pa.array([b" ".join(sorted(look(v)[1])) for v in binaries(x)], pa.binary()), "binary")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= LABELLED_CHARS).join(sample, "id")
-    found = texts.select("id", "toxic", words(utf8("text")).alias("w")).orderBy("id", "w").collect()  # at most 5 * rows texts, unless ids repeat
-    return learned_words((r.w.split(), r.toxic) for r in found)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
+    seen = stored(texts.select("id", "toxic", F.xxhash64("text").alias("digest"), F.arrow_udf(_seen, _SEEN).asNondeterministic()(utf8("text")).alias("s")).select("id", "toxic", "digest", "s.*"), folder)
+    first = seen.groupBy("id", "toxic").agg(F.min("digest").alias("digest"))
+    chosen = seen.join(first, ["id", "toxic", "digest"]).dropDuplicates(["id", "toxic"])
+    sketches = chosen.select("id", "toxic", "sketch").orderBy("id", "toxic").collect()  # at most 5 * rows, 32 numbers each
+    kept = [(r.id, r.toxic) for r, keep in zip(sketches, no_copies((r.sketch, r.toxic) for r in sketches)) if keep]
+    n = [sum(t == toxic for _, t in kept) for toxic in (0, 1)]
+    found: dict[bytes, list[bytes]] = {b"w": [], b"s": []}
+    if all(n):
+        each = chosen.join(F.broadcast(spark.createDataFrame(kept, known.schema)), ["id", "toxic"]).select("toxic", F.explode("marks").alias("mark"))
+        counts = each.groupBy("mark").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_other")).filter(F.col("n_toxic") >= least)
+        kind = F.substring("mark", 1, 1).alias("kind")
+        often = {bytes(r.kind): r["count"] for r in counts.groupBy(kind).count().collect()}
+        for r in counts.filter("9 * n_other <= n_toxic").collect():  # words of five toxic texts that hardly any other has
+            if telling(np.array([r.n_toxic]), np.array([r.n_other]), often[bytes(r.mark[:1])], n[1] / sum(n))[0]:
+                found[bytes(r.mark[:1])].append(bytes(r.mark[1:]))
+    dropped(spark, folder)
+    return Lexicon(frozenset(found[b"w"]), frozenset(found[b"s"]))
 
 
-def _patterns(lexicon: frozenset[bytes]):
+def _looked(lexicon: Lexicon):
     def of(text: pa.Array) -> pa.Array:
-        seen = [look(x, lexicon)[0] for x in binaries(text)]
-        return pa.StructArray.from_arrays([pa.array([pattern(x, k) for x in seen], pa.int32()) for k in (QUALITY_LABELLERS, TOXIC_LABELLERS)], names=["q", "t"])
+        rows = []
+        for x in binaries(text):  # the words of one text at a time
+            seen, kinds = look(x, lexicon)
+            rows.append((pattern(seen, QUALITY_LABELLERS), pattern(seen, TOXIC_LABELLERS), features(seen, kinds).tobytes()))
+        q, t, f = zip(*rows) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(q, pa.int32()), pa.array(t, pa.int32()), pa.array(f, pa.binary())], names=["q", "t", "f"])
 
-    return of
+    return F.arrow_udf(of, "q int, t int, f binary").asNondeterministic()
 
 
-def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS, labels: DataFrame | None = None, id_col: str = "doc_id") -> Classifier:
-    """A classifier from all documents' votes and at most 2 * train_rows distinct texts for the scorer."""
-    spark, folder = docs.sparkSession, workspace(docs.sparkSession)
-    lexicon = learn_lexicon(docs, labels, text_col, id_col) if labels is not None else frozenset()
-    bare = docs.select(F.col(text_col).alias("text"))
-    of = F.arrow_udf(_patterns(lexicon), "q int, t int").asNondeterministic()
-    slim = stored(bare.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), of(utf8("text")).alias("p")).select("key", "p.*"), folder)
+def fit(looked: DataFrame, key: str, looks: str, train_rows: int = TRAIN_ROWS) -> Classifier:
+    """A classifier from a stored table with a text hash and the looks (q, t, f): all documents' votes, and at most 2 * train_rows texts for the scorer."""
+    spark = looked.sparkSession
+    slim = looked.select(F.col(key).alias("key"), F.col(looks)["q"].alias("q"), F.col(looks)["t"].alias("t"))
     counted = slim.groupBy("q", "t").count().collect()  # at most one row for each pattern of votes
     q, t, n = (np.array([r[i] for r in counted], np.int64) for i in range(3))
-    model = Classifier(fit_votes(q, n, len(QUALITY_LABELLERS)), fit_votes(t, n, len(TOXIC_LABELLERS)), np.zeros((1 << BITS) + 1), lexicon)
+    model = Classifier(fit_votes(q, n, len(QUALITY_LABELLERS)), fit_votes(t, n, len(TOXIC_LABELLERS)), np.zeros((1 << BITS) + 1))
     unfit = model.unfit(q, t)[2]
     known = spark.createDataFrame([(int(a), int(b), float(u)) for a, b, u in zip(q, t, unfit)], "q int, t int, unfit double")
-    posterior = slim.select("key", "q", "t").distinct().join(F.broadcast(known), ["q", "t"])
+    posterior = slim.distinct().join(F.broadcast(known), ["q", "t"])
     sample = {r.key: r.unfit for side in ("unfit > 0.5", "unfit <= 0.5") for r in posterior.filter(side).orderBy("key").limit(train_rows).collect()}
     if sample:
         keys = spark.createDataFrame([(k,) for k in sample], "key bigint")
-        texts = bare.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).join(F.broadcast(keys), "key").groupBy("key").agg(F.first("text").alias("text"))
-        hashed = F.arrow_udf(lambda x: pa.array([features(*look(v, lexicon)).tobytes() for v in binaries(x)], pa.binary()), "binary")
-        rows = sorted(texts.select("key", hashed(utf8("text")).alias("f")).collect())  # at most 2^BITS features of two bytes each
+        texts = looked.select(F.col(key).alias("key"), F.col(looks)["f"].alias("f")).join(F.broadcast(keys), "key").groupBy("key").agg(F.min("f").alias("f"))
+        rows = sorted(texts.collect())  # at most 2^BITS features of two bytes each
         model.weights = fit_scorer([np.frombuffer(r.f, np.uint16) for r in rows], np.array([sample[r.key] for r in rows]))
-    dropped(spark, folder)
     return model
 
 
-def classified(docs: DataFrame, model: Classifier, text_col: str = "text", out: str = "quality") -> tuple[DataFrame, str]:
-    """docs with a struct column (low_quality, toxic, score, unfit, kept); and that column's name."""
-    out = unused(docs, out)
+def classified(docs: DataFrame, text_col: str = "text", labels: DataFrame | None = None, id_col: str = "doc_id", out: str = "quality", keep_text: bool = True) -> tuple[DataFrame, str]:
+    """docs, stored, with a struct column (low_quality, toxic, score, unfit, kept); and that column's name."""
+    out, key = unused(docs, out), unused(docs, "_key")
+    lexicon = learn_lexicon(docs, labels, text_col, id_col) if labels is not None else Lexicon()
+    seen = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn(out, _looked(lexicon)(utf8(text_col)))
+    looked = stored(seen if keep_text else seen.drop(text_col))
+    model = fit(looked, key, out)
+    model.lexicon = lexicon
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(text: pa.Array) -> pa.Array:
+    def judge(q: pa.Array, t: pa.Array, f: pa.Array) -> pa.Array:
         m = shared.value
-        rows = []
-        for x in binaries(text):  # the words of one text at a time
-            seen, kinds = look(x, m.lexicon)
-            rows.append((pattern(seen, QUALITY_LABELLERS), pattern(seen, TOXIC_LABELLERS), score(features(seen, kinds), m.weights)))
-        q, t, scores = (np.array(c, k) for c, k in zip(zip(*rows) if rows else ((), (), ()), (np.int64, np.int64, float)))
-        low, toxic, unfit = m.unfit(q, t)
+        scores = np.array([score(np.frombuffer(x, np.uint16), m.weights) for x in f.to_pylist()], float)
+        low, toxic, unfit = m.unfit(q.to_numpy(zero_copy_only=False).astype(np.int64), t.to_numpy(zero_copy_only=False).astype(np.int64))
         both = (unfit + scores) / 2
         return pa.StructArray.from_arrays([pa.array(low), pa.array(toxic), pa.array(scores), pa.array(both), pa.array(both < 0.5)], names=["low_quality", "toxic", "score", "unfit", "kept"])
 
     udf = F.arrow_udf(judge, "low_quality double, toxic double, score double, unfit double, kept boolean").asNondeterministic()
-    return docs.withColumn(out, udf(utf8(text_col))), out
+    return looked.withColumn(out, udf(F.col(out)["q"], F.col(out)["t"], F.col(out)["f"])).drop(key), out
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, low_quality, toxic (posteriors), score, unfit, kept."""
     bare = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    df, c = classified(bare, fit(bare, labels=labels))
+    labels = None if labels is None else labels.withColumnRenamed(id_col, "doc_id")
+    df, c = classified(bare, labels=labels, keep_text=False)
     return df.select("doc_id", f"{c}.*")
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", labels: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns as they are."""
-    df, c = classified(docs, fit(docs, text_col, labels=labels, id_col=id_col), text_col)
+    df, c = classified(docs, text_col, labels, id_col)
     return df.filter(F.col(c)["kept"]).select(*[F.col(f"`{x}`") for x in docs.columns])
