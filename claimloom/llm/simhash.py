@@ -18,7 +18,8 @@ fingerprints link at MAX_DISTANCE or fewer differing bits. To find the links:
 Components of the links give the classes. Copies share a fingerprint and are never paired.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links
-like any other. Fewer words than a shingle: the whole sequence is hashed. A null id keeps its row;
+like any other. Fewer words than a shingle: the whole sequence is hashed. A bit that exactly half of the hashes
+set is 0. A very long text is read in slices and its hashes are added up part by part. A null id keeps its row;
 the class id is the smallest non-null id of the class. Repeated rows stay; further columns do no harm. No rows give no rows.
 """
 
@@ -283,15 +284,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = near_copies.WIDTH) -> DataFrame:
-    """docs without the documents of a class other than the one with its smallest id.
+    """One row of each class of near copies: the one of smallest id (null ids last), ties by a digest of the text, then of the row.
 
-    Classes are those of near_copies, verified on shingles, not those of ``classes``.
-    Rows without an id are kept: nothing says which of a class they are. A repeated id is kept once.
+    Classes are those of near_copies, verified on shingles, not those of ``classes``. Rows that are equal
+    in all columns are one; so each class keeps exactly one row, whatever its ids. Columns of maps don't enter the digest.
     """
-    own, by_key = near_copies.sketched(docs, id_col, text_col, width)
-    first = by_key.select(F.col("component_id").alias("__keep")).filter("__keep is not null").distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("__keep"), "left_semi")
-    ids = own.filter("doc_id is not null").groupBy("doc_id").count()
-    if ids.filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    first, second = unused(docs, "_first"), unused(docs, "_second")
+    marked = docs.withColumn(first, F.xxhash64(*plain)).withColumn(second, F.xxhash64(F.lit(1), *plain))
+    texts = marked.select(F.col(f"`{id_col}`").alias("id"), F.col(first).alias("first"), F.col(second).alias("second"), utf8(text_col).alias("text"))
+    own, by_key = near_copies.classes(texts.withColumn("digest", F.xxhash64("text")), width)
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest"), F.col("first"), F.col("second"))
+    by_set = own.groupBy("key").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("rows"))
+    least = by_set.join(by_key, "key").groupBy("component").agg(F.min("place").alias("place"))
+    keep = stored(least.select(F.col("place.first").alias(first), F.col("place.second").alias(second)))
+    kept = marked.join(keep, [first, second], "left_semi")
+    twice = own.groupBy(F.col("first").alias(first), F.col("second").alias(second)).count().filter("count > 1")
+    if keep.join(twice, [first, second], "left_semi").limit(1).count():  # equal rows: any of them is the same row
+        kept = kept.dropDuplicates([first, second])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
