@@ -1,24 +1,31 @@
-"""A bigram language model with deleted interpolation, learnt and applied over blocks of documents.
+"""A trigram language model with deleted interpolation, learnt and applied over blocks of documents.
 
-Tokens are the lower-cased words and one end per document, which is also the context of the first
-word. With c the counts of the training documents, N their tokens and V their distinct tokens,
+Tokens are the lower-cased words and one end per document, which is also both words before the first one.
+With c the counts of the training documents, N their tokens and V their distinct tokens,
 
-    P(w | u) = a2 c(u, w) / c(u) + a1 c(w) / N + a0 / (V + 1)
+    P1(w) = l1 c(w) / N + (1 - l1) / (V + 1)
+    P2(w | u) = l2 c(u, w) / c(u) + (1 - l2) P1(w)
+    P3(w | t, u) = l3 c(t, u, w) / c(t, u) + (1 - l3) P2(w | u)
 
-where the weights a depend on the bucket of the context's frequency, a power of two. They are
-learnt by expectation-maximisation: one part of the training documents is held out, its own counts are
-deleted from all others, and the weights are those that make it likeliest.
+where l3 and l2 depend on the bucket of the context's frequency, a power of two, however large; an unseen
+context has weight 0. The weights are learnt by expectation-maximisation: one part of the training documents
+is held out, its own counts are deleted from all others, and the weights are those that make its tokens
+likeliest. Every round sums the shares of all held-out tokens, until they gain less than GAIN nats a token.
 
 How it is computed: documents are gathered into blocks of about BLOCK_TOKENS tokens, stored once.
 A block sends each distinct n-gram (a 64-bit hash) with its count to the bucket of its hash;
 buckets add up the counts of all blocks and send them back in the block's order. So a shuffle holds an
 n-gram once per block, in sorted arrays (differences, byte planes, zstd), no word or document is hot, and
-both sides work in numpy. The part that fits the weights lies in blocks of its own; its tokens are summed into cells of the context's bucket and of the components' logarithms in
-quarter steps, a table of bounded size, on which EM runs.
+both sides work in numpy. A block never sends more than 2^CUT messages of an order: where a corpus has more than
+GROUP_TOKENS tokens, its blocks first add up in groups, whose sums go on as the blocks of the next
+level, cut by the next bits of the hash, and the totals come back the same way. Messages so grow
+in proportion to the corpus times its number of levels, the logarithm of its size to the base 2^CUT. The part that
+fits the weights lies in blocks of its own.
 
 Defined cases: a null or empty text is its end alone. Null ids count as the text "" for the split into
-training and held-out documents; rows keep their ids; repeated rows are counted as often as they come.
-Without training documents N and V are 0 and every token has the base's probability, 1 / (V + 1). No rows give no rows.
+training and held-out documents; rows keep their ids; repeated rows are counted as often as they come. A very long
+text is read in slices and makes a block longer. Further columns aren't read, whatever their names. Without training
+documents N and V are 0 and every token has the base's probability, 1 / (V + 1). No rows give no rows.
 """
 
 from __future__ import annotations
@@ -37,14 +44,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import stored, utf8, word_slices
+from claimloom.llm.common import dropped, stored, utf8, word_slices, workspace
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: Tokens for each bucket of n-grams.
 BUCKET_TOKENS = 1 << 21
+#: Bits of the hash by which a level is cut, and tokens whose blocks add up in one group.
+CUT = 8
+GROUP_TOKENS = BLOCK_TOKENS << CUT
+#: Tasks of a shuffle at most; beyond, a task takes several buckets, one after the other.
+TASKS = 100_000
 FOLDS, HELD_OUT, DELETED = 7, 2, 0
-BUCKETS = 24
-DEFAULT = (0.4, 0.4, 0.2)
+#: A count of 64 bits has one of so many buckets: 0, or 1 + floor(log2 c).
+BUCKETS = 65
+DEFAULT = 0.5
+GAIN = 1e-5
+ORDERS = (1, 2, 3)
 _END = np.uint64(xxhash.xxh64_intdigest(b""))
 _BLOCK_SCHEMA = "block bigint, deleted boolean, doc_ids array<bigint>, roles binary, lengths binary, words binary, stream binary"
 TRAIN, TRAIN_DELETED, SCORED = 1, 2, 0
@@ -96,19 +111,22 @@ class _Gathering:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=["block", "deleted", "doc_ids", "roles", "lengths", "words", "stream"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = count(TaskContext.get().partitionId() << 24)
-    kinds = [_Gathering(False), _Gathering(True)]
-    for b in batches:
-        for d, text in zip(b.column(0).to_pylist(), b.column(1)):
-            k = role(d) == TRAIN_DELETED
-            kinds[k].add(d, text.as_py())
-            if kinds[k].held >= BLOCK_TOKENS:
-                yield kinds[k].block(next(number))
-                kinds[k] = _Gathering(k)
-    for k in kinds:
-        if k.ids:
-            yield k.block(next(number))
+def _blocks(block_tokens: int):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = count(TaskContext.get().partitionId() << 24)
+        kinds = [_Gathering(False), _Gathering(True)]
+        for b in batches:
+            for d, text in zip(b.column(0).to_pylist(), b.column(1)):
+                k = role(d) == TRAIN_DELETED
+                kinds[k].add(d, text.as_py())
+                if kinds[k].held >= block_tokens:
+                    yield kinds[k].block(next(number))
+                    kinds[k] = _Gathering(k)
+        for k in kinds:
+            if k.ids:
+                yield k.block(next(number))
+
+    return gather
 
 
 class Block:
@@ -116,33 +134,52 @@ class Block:
 
     def __init__(self, roles: bytes, lengths: bytes, words: bytes, stream: bytes):
         self.lengths = _unpacked(lengths, "<u8").astype(np.int64)
+        self.starts = np.append(0, np.cumsum(self.lengths))[:-1]
         self.roles = np.repeat(np.frombuffer(roles, np.uint8), self.lengths)
         self.words = _unpacked(words, "<u8")
         self.stream = _unpacked(stream, "<u4")
-        end = int(np.flatnonzero(self.words == _END)[0])
-        self.before = np.append(np.uint32(end), self.stream[:-1])  # each document follows an end
+        self.end = int(np.flatnonzero(self.words == _END)[0])
+        self.before = np.append(np.uint32(self.end), self.stream[:-1])  # each document follows an end
 
-    def pairs(self) -> np.ndarray:
-        """A hash of each token with the one before it."""
+    def hashes(self, order: int) -> np.ndarray:
+        """A hash of each token with the one before it, or the two."""
         with np.errstate(over="ignore"):
             x = self.words[self.before] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B19E3779F9)
             x = (x ^ x >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F) ^ self.words[self.stream]
+            if order == 3:
+                first = np.append(np.uint32(self.end), self.before[:-1])
+                first[self.starts] = self.end
+                x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) + self.words[first] * np.uint64(0xD6E8FEB86659FD93)
             x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
             return x ^ x >> np.uint64(32)
 
-    def counted(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys ascending, each token's place among them, training counts."""
-        if order == 1:
-            rank = np.argsort(self.words)
-            keys, place = self.words[rank], np.empty(len(rank), np.int64)
-            place[rank] = np.arange(len(rank))
-            where = place[self.stream]
-        else:
-            keys, where = np.unique(self.pairs(), return_inverse=True)
-        return keys, where, np.bincount(where[self.roles > 0], minlength=len(keys))
+    def placed(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys ascending, and each token's place among them."""
+        if order > 1:
+            return np.unique(self.hashes(order), return_inverse=True)
+        rank = np.argsort(self.words)
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        return self.words[rank], place[self.stream]
+
+
+def _batch(names: str, kinds: list, *rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names.split())
+
+
+_SENT, _SENT_KINDS = "src pre sub ord keys counts gone", [pa.int64()] * 3 + [pa.int32()] + [pa.binary()] * 3
+_SENT_SCHEMA = "src bigint, pre bigint, sub bigint, ord int, keys binary, counts binary, gone binary"
 
 
-_SENT_SCHEMA = "bucket bigint, block bigint, deleted boolean, order int, keys binary, counts binary"
+def _cut(src: int, pre: int, order: int, keys: np.ndarray, counts: np.ndarray, gone: np.ndarray | None, done: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sorted keys that share their first ``done`` bits, a message for each value of the next ``bits``; gone: the held-out part's counts."""
+    start = int(pre) << (64 - done) if done else 0
+    edges = [start + (k << (64 - done - bits)) for k in range(1 << bits)]
+    cuts = np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        at = slice(cuts[k], cuts[k + 1])
+        lost = None if gone is None else _packed(gone[at].astype("<u8"))
+        yield _batch(_SENT, _SENT_KINDS, [src, pre, k, order, _packed(np.diff(keys[at], prepend=np.uint64(0))), _packed(counts[at].astype("<u8")), lost])
 
 
 def _sent(bits: int):
@@ -152,143 +189,237 @@ def _sent(bits: int):
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row["roles"], row["lengths"], row["words"], row["stream"])
-                for order in (1, 2):
-                    keys, _, counts = block.counted(order)
-                    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.array([0])
-                    cuts = np.append(cuts, len(keys))
-                    for k in np.flatnonzero(np.diff(cuts)):
-                        at = slice(cuts[k], cuts[k + 1])
-                        values = [2 * int(k) + order - 1, row["block"], row["deleted"], order, _packed(np.diff(keys[at], prepend=np.uint64(0))), _packed(counts[at].astype("<u4"))]
-                        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["bucket", "block", "deleted", "order", "keys", "counts"])
+                for order in ORDERS:
+                    keys, where = block.placed(order)
+                    counts = np.bincount(where[block.roles > 0], minlength=len(keys))
+                    yield from _cut(row["block"], 0, order, keys, counts, counts if row["deleted"] else None, 0, bits)
 
     return send
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """Sums of one bucket over all blocks, back in each block's order; kinds: distinct keys that training has (left: without the deleted part)."""
-    order, removed = table.column("order")[0].as_py(), table.column("deleted").to_pylist()
+def _sent_on(done: int, bits: int):
+    """The same for the sums of a group of blocks."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                keys = np.cumsum(_unpacked(r["keys"], "<u8"), dtype=np.uint64)
+                yield from _cut(r["src"], r["pre"], r["ord"], keys, _unpacked(r["counts"], "<u8"), None if r["gone"] is None else _unpacked(r["gone"], "<u8"), done, bits)
+
+    return send
+
+
+def _sums(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct keys of messages, each message's places among them, and the sums of counts and of the held-out part."""
     keys = [np.cumsum(_unpacked(x.as_py(), "<u8"), dtype=np.uint64) for x in table.column("keys")]
-    counts = [_unpacked(x.as_py(), "<u4") for x in table.column("counts")]
-    sizes = [len(k) for k in keys]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.rint(np.bincount(place, np.concatenate(counts), len(every))).astype(np.int64)
-    gone = np.rint(np.bincount(place, np.concatenate([c if r else np.zeros(len(c)) for c, r in zip(counts, removed)]), len(every))).astype(np.int64)
-    cuts = np.append(0, np.cumsum(sizes))
-    kinds, left = int((total > 0).sum()), int((total > gone).sum())
+    cuts = np.append(0, np.cumsum([len(k) for k in keys]))
     places = [place[a:b] for a, b in zip(cuts, cuts[1:])]
-    n = len(sizes)
-    return pa.table(
-        {
-            "bucket": table.column("bucket"),
-            "block": table.column("block"),
-            "deleted": table.column("deleted"),
-            "order": pa.array([order] * n, pa.int32()),
-            "counts": pa.array([_packed(total[p].astype("<u8")) for p in places], pa.binary()),
-            "gone": pa.array([_packed(gone[p].astype("<u8")) if r else None for p, r in zip(places, removed)], pa.binary()),
-            "kinds": pa.array([kinds] + [0] * (n - 1), pa.int64()),
-            "left": pa.array([left] + [0] * (n - 1), pa.int64()),
-        }
-    )
+    total, gone = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for p, c, g in zip(places, table.column("counts"), table.column("gone")):
+        total[p] += _unpacked(c.as_py(), "<u8").astype(np.int64)  # the keys of a message are distinct
+        if g.is_valid:
+            gone[p] += _unpacked(g.as_py(), "<u8").astype(np.int64)
+    return every, places, total, gone
+
+
+_BACK, _BACK_KINDS = "src pre sub ord counts gone kinds left", [pa.int64()] * 3 + [pa.int32()] + [pa.binary()] * 2 + [pa.int64()] * 2
+_BACK_SCHEMA = "src bigint, pre bigint, sub bigint, ord int, counts binary, gone binary, kinds bigint, left bigint"
+
+
+def _returned(table: pa.Table, places: list[np.ndarray], total: np.ndarray, gone: np.ndarray, kinds: int, left: int) -> pa.Table:
+    rows = []
+    for i, (r, p) in enumerate(zip(table.select(["src", "pre", "sub", "ord", "gone"]).to_pylist(), places)):
+        lost = None if r["gone"] is None else _packed(gone[p].astype("<u8"))
+        rows.append([r["src"], r["pre"], r["sub"], r["ord"], _packed(total[p].astype("<u8")), lost, 0 if i else kinds, 0 if i else left])
+    return pa.Table.from_batches([_batch(_BACK, _BACK_KINDS, *rows)])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Sums of one bucket over all blocks, back in each block's order; kinds: distinct keys that training has (left: without the held-out part)."""
+    _, places, total, gone = _sums(table)
+    return _returned(table, places, total, gone, int((total > 0).sum()), int((total > gone).sum()))
+
+
+def _merged(bits: int):
+    """One row of sums for a group's messages in a bucket."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        every, _, total, gone = _sums(table)
+        head = [table.column(c)[0].as_py() for c in ("grp", "pre", "sub", "ord")]
+        row = [head[0], (head[1] << bits) | head[2], 0, head[3], _packed(np.diff(every, prepend=np.uint64(0))), _packed(total.astype("<u8")), _packed(gone.astype("<u8")) if gone.any() else None]
+        return pa.Table.from_batches([_batch(_SENT, _SENT_KINDS, row)])
 
+    return merge
 
-_BACK_SCHEMA = "bucket bigint, block bigint, deleted boolean, order int, counts binary, gone binary, kinds bigint, left bigint"
+
+def _handed_down(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Totals of a group's sums, back to its messages."""
+    right = right.sort_by("sub")
+    join = lambda name: np.concatenate([_unpacked(x.as_py(), "<u8").astype(np.int64) for x in right.column(name)])
+    _, places, total, _ = _sums(left)
+    gone = join("gone") if right.column("gone").null_count == 0 else np.zeros(len(total), np.int64)
+    return _returned(left, places, join("counts"), gone, sum(right.column("kinds").to_pylist()), sum(right.column("left").to_pylist()))
+
+
+def _tasks(n: int) -> int:
+    return max(1, min(n, TASKS))
+
+
+def _totals(sent: DataFrame, tokens: int, bits: int, done: int, sizes: tuple[int, int, int]) -> DataFrame:
+    """The messages' counts over the whole corpus. tokens: of one prefix of ``done`` bits; sizes: tokens of a bucket and of a group, and bits of a cut."""
+    _, group, _ = sizes
+    buckets = len(ORDERS) << (done + bits)
+    if tokens <= group:
+        return sent.repartition(_tasks(buckets), "pre", "sub", "ord").groupBy("pre", "sub", "ord").applyInArrow(_added, _BACK_SCHEMA)
+    groups = -(-tokens // group)
+    messages = stored(sent.withColumn("grp", F.pmod(F.xxhash64("src"), F.lit(groups))))
+    key = ["grp", "pre", "sub", "ord"]
+    merged = stored(messages.repartition(_tasks(buckets * groups), *key).groupBy(*key).applyInArrow(_merged(bits), _SENT_SCHEMA))
+    done, tokens = done + bits, -(-tokens >> bits)
+    following = _bits(tokens, sizes)
+    totals = _totals(merged.mapInArrow(_sent_on(done, following), _SENT_SCHEMA), tokens, following, done, sizes)
+    # a group's sums have the bucket of their messages as their prefix
+    down = messages.withColumn("to", F.shiftleft(F.col("pre"), bits).bitwiseOR(F.col("sub"))).groupBy("grp", "to", "ord")
+    return down.cogroup(totals.groupBy("src", "pre", "ord")).applyInArrow(_handed_down, _BACK_SCHEMA)
+
+
+def _bits(tokens: int, sizes: tuple[int, int, int]) -> int:
+    bucket, group, cut = sizes
+    return cut if tokens > group else max(0, int(-(-tokens // bucket) - 1).bit_length())
 
 
 def _joined(left: pa.Table, right: pa.Table, columns: tuple[str, ...] = ("counts",)) -> tuple[dict, Block, list[list[np.ndarray]]]:
-    """A block's row, its arrays, and for orders 1 and 2 each token's numbers of the given columns."""
+    """A block's row, its arrays, and for each order each token's numbers of the given columns."""
     row = left.to_pylist()[0]
     block = Block(row["roles"], row["lengths"], row["words"], row["stream"])
-    cells = sorted(right.select(["bucket", "order", *columns]).to_pylist(), key=lambda r: r["bucket"])
+    cells = sorted(right.select(["sub", "ord", *columns]).to_pylist(), key=lambda r: r["sub"])
     out = []
-    for order in (1, 2):
-        where = block.counted(order)[1]
-        own = [c for c in cells if c["order"] == order]
+    for order in ORDERS:
+        where = block.placed(order)[1]
+        own = [c for c in cells if c["ord"] == order]
         out.append([np.concatenate([_unpacked(c[x], "<u8") for c in own]).astype(np.int64)[where] for x in columns])
     return row, block, out
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else 1 + floor(log2 c), at most BUCKETS - 1."""
-    return np.minimum(np.frexp(c.astype(np.float64))[1], BUCKETS - 1).astype(np.int64)
+    """0 for an unseen context, else 1 + floor(log2 c)."""
+    exact = np.frexp(c.astype(np.float64))[1].astype(np.int64)
+    return exact - ((c > 0) & (c >> np.maximum(exact - 1, 0) == 0))  # less one where a count was rounded up to a power of two
 
 
-def _components(c2: np.ndarray, cu: np.ndarray, c1: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return c2 / np.maximum(cu, 1), c1 / max(n, 1)
-
-
-def _contexts(block: Block, c1: np.ndarray) -> np.ndarray:
-    """The count of each token's context."""
+def _shares(block: Block, c: list[np.ndarray], n: int) -> tuple[np.ndarray, ...]:
+    """Each token's maximum-likelihood estimates of orders 3, 2 and 1, and the buckets of its two contexts."""
+    c1, c2, c3 = c
     by_word = np.zeros(len(block.words), np.int64)
     by_word[block.stream] = c1
-    return by_word[block.before]  # the end is in every block
+    cu = by_word[block.before]  # the end is in every block
+    ctu = np.append(0, c2[:-1])
+    ctu[block.starts] = by_word[block.end]
+    return c3 / np.maximum(ctu, 1), c2 / np.maximum(cu, 1), c1 / max(n, 1), context_bucket(ctu), context_bucket(cu)
 
 
 @dataclass(frozen=True)
 class Weights:
-    """by_bucket: (BUCKETS, 3) weights of bigram, unigram and uniform; the counts they go with."""
+    """by_order: the weight of order 3 and of order 2 by the context's bucket (2, BUCKETS); of order 1; the counts they go with."""
 
-    by_bucket: np.ndarray
+    by_order: np.ndarray
+    first: float
     tokens: int
     kinds: int
 
 
-def fit_weights(cells: np.ndarray, kinds: int, rounds: int = 60) -> np.ndarray:
-    """EM on cells (bucket, n, sum of p2, sum of p1): the weights of each bucket."""
-    out = np.tile(np.array(DEFAULT), (BUCKETS, 1))
-    out[0] = (0.0, 2 / 3, 1 / 3)
-    for b in range(BUCKETS):
-        own = cells[cells[:, 0] == b]
-        n = own[:, 1]
-        if not n.sum():
-            continue
-        p = np.stack([own[:, 2] / n, own[:, 3] / n, np.full(len(own), 1 / (kinds + 1))], axis=1)
-        start = out[b].copy()
-        for _ in range(rounds):
-            share = p * out[b]
-            share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-            # one token's worth of the default keeps a sparse bucket's weights off zero
-            new = (n[:, None] * share).sum(axis=0) + start
-            new /= new.sum()
-            done = np.abs(new - out[b]).max() < 1e-9
-            out[b] = new
-            if done:
-                break
-    return out
-
-
-def _held_out_cells(n: int):
-    def cells(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, block, ((c1, d1), (c2, d2)) = _joined(left, right, ("counts", "gone"))
-        cu = _contexts(block, c1 - d1)
-        p2, p1 = _components(c2 - d2, cu, c1 - d1, n)
-        with np.errstate(divide="ignore"):
-            q = [np.where(p > 0, np.maximum(np.rint(-4 * np.log2(p)), 0), 1023).astype(np.int64) for p in (p2, p1)]
-        key = (context_bucket(cu) << 20) | (q[0] << 10) | q[1]
-        found, place = np.unique(key, return_inverse=True)
-        return pa.table({"cell": pa.array(found), "n": pa.array(np.bincount(place, minlength=len(found)).astype(np.int64)), "p2": pa.array(np.bincount(place, p2, len(found)).astype(float)), "p1": pa.array(np.bincount(place, p1, len(found)).astype(float))})
-
-    return cells
+def start_weights() -> np.ndarray:
+    """Order 3 by bucket, order 2 by bucket, order 1."""
+    w = np.full(2 * BUCKETS + 1, DEFAULT)
+    w[0] = w[BUCKETS] = 0.0
+    return w
+
+
+def expected(p3, p2, p1, b3, b2, w: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """For each weight, how often it chose and how often it took its order, expected over tokens; and the tokens' log-likelihood."""
+    l3, l2, l1 = w[b3], w[BUCKETS + b2], w[-1]
+    low1 = l1 * p1 + (1 - l1) / (kinds + 1)
+    low2 = l2 * p2 + (1 - l2) * low1
+    p = l3 * p3 + (1 - l3) * low2
+    took3 = l3 * p3 / p
+    left = 1 - took3
+    took2 = left * l2 * p2 / low2
+    left2 = left - took2
+    asked = np.concatenate([np.bincount(b3, minlength=BUCKETS), np.bincount(b2, left, BUCKETS), [left2.sum()]])
+    took = np.concatenate([np.bincount(b3, took3, BUCKETS), np.bincount(b2, took2, BUCKETS), [(left2 * l1 * p1 / low1).sum()]])
+    return asked, took, float(np.log(p).sum())
+
+
+def improved(asked: np.ndarray, took: np.ndarray) -> np.ndarray:
+    """The next weights; one choice of the default's keeps a sparse bucket's weight off zero and one."""
+    w = (took + DEFAULT) / (asked + 1)
+    w[0] = w[BUCKETS] = 0.0
+    return w
+
+
+_HELD_SCHEMA = "p3 binary, p2 binary, p1 binary, b3 binary, b2 binary"
+
+
+def _held_out(n: int):
+    """A held-out block's estimates, without its own part's counts."""
+
+    def shares(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, block, numbers = _joined(left, right, ("counts", "gone"))
+        *p, b3, b2 = _shares(block, [c - d for c, d in numbers], n)
+        data = [*(_packed(x) for x in p), _packed(b3.astype(np.uint8)), _packed(b2.astype(np.uint8))]
+        return pa.table({name: pa.array([x], pa.binary()) for name, x in zip(("p3", "p2", "p1", "b3", "b2"), data)})
+
+    return shares
+
+
+def _expectations(w: np.ndarray, kinds: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, took, gain = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0.0
+        for b in batches:
+            for row in b.to_pylist():
+                p = [_unpacked(row[x], "<f8") for x in ("p3", "p2", "p1")]
+                a, t, g = expected(*p, _unpacked(row["b3"], "<u1").astype(np.int64), _unpacked(row["b2"], "<u1").astype(np.int64), w, kinds)
+                asked[:-1] += a
+                took[:-1] += t
+                asked[-1] += len(p[0])
+                took[-1] += g
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w) + 1)), pa.array(asked), pa.array(took)], names=["i", "asked", "took"])
+
+    return add
+
+
+def fit_weights(held: DataFrame, kinds: int) -> np.ndarray:
+    """EM over all held-out tokens; a round brings 2 * BUCKETS + 2 rows to the driver."""
+    w, last = start_weights(), None
+    while True:
+        rows = held.mapInArrow(_expectations(w, kinds), "i bigint, asked double, took double").groupBy("i").agg(F.sum("asked").alias("asked"), F.sum("took").alias("took")).orderBy("i").collect()
+        if not rows or not rows[-1].asked:
+            return w
+        *sums, (_, n, now) = rows
+        w = improved(np.array([r.asked for r in sums]), np.array([r.took for r in sums]))
+        if last is not None and now - last < GAIN * n:
+            return w
+        last = now
 
 
 def _scores(w: Weights):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, block, ((c1,), (c2,)) = _joined(left, right)
-        cu = _contexts(block, c1)
-        p2, p1 = _components(c2, cu, c1, w.tokens)
-        a = w.by_bucket[context_bucket(cu)]
-        with np.errstate(divide="ignore"):
-            model = np.log10(a[:, 0] * p2 + a[:, 1] * p1 + a[:, 2] / (w.kinds + 1)) if w.tokens else np.full(len(cu), -np.log10(w.kinds + 1))
-        base = np.log10((c1 + 1) / (w.tokens + w.kinds + 1))
-        starts = np.append(0, np.cumsum(block.lengths))[:-1]
-        add = lambda x: np.add.reduceat(x, starts)
+        row, block, numbers = _joined(left, right)
+        c = [x for (x,) in numbers]
+        p3, p2, p1, b3, b2 = _shares(block, c, w.tokens)
+        l3, l2 = w.by_order[0][b3], w.by_order[1][b2]
+        first = w.first if w.tokens else 0.0
+        model = np.log10(l3 * p3 + (1 - l3) * (l2 * p2 + (1 - l2) * (first * p1 + (1 - first) / (w.kinds + 1))))
+        base = np.log10((c[0] + 1) / (w.tokens + w.kinds + 1))
+        add = lambda x: np.add.reduceat(x, block.starts)
         return pa.table(
             {
                 "doc_id": pa.array(row["doc_ids"], pa.int64()),
                 "held_out": pa.array([r == SCORED for r in row["roles"]]),
                 "n_tokens": pa.array(block.lengths),
-                "n_known": pa.array(add((c1 > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(starts), w.tokens)),
+                "n_known": pa.array(add((c[0] > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(block.starts), w.tokens)),
                 "base_score": pa.array(add(base)),
                 "score": pa.array(add(model)),
             }
@@ -303,29 +434,33 @@ _SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigin
 @dataclass(frozen=True)
 class Model:
     blocks: DataFrame
+    n_blocks: int
     counts: DataFrame
     weights: Weights
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def _paired(blocks: DataFrame, counts: DataFrame, n: int):
+    return blocks.repartition(_tasks(n), "block").groupBy("block").cogroup(counts.withColumnRenamed("src", "block").repartition(_tasks(n), "block").groupBy("block"))
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, group_tokens: int = GROUP_TOKENS, cut: int = CUT) -> Model:
     """Blocks and their n-grams' counts, stored, and the weights."""
     spark = docs.sparkSession
+    sizes = (bucket_tokens, group_tokens, cut)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"))
-    blocks = stored(rows.mapInArrow(_blocks, _BLOCK_SCHEMA))
-    roles = blocks.select("roles", "lengths").mapInArrow(_role_sums, "role int, n bigint").groupBy("role").agg(F.sum("n").alias("n")).collect()  # three rows
-    by_role = {r.role: r.n for r in roles}
+    blocks = stored(rows.mapInArrow(_blocks(block_tokens), _BLOCK_SCHEMA))
+    n_blocks = blocks.count()
+    sums = blocks.select("roles", "lengths").mapInArrow(_role_sums, "role int, n bigint").groupBy("role").agg(F.sum("n").alias("n")).collect()  # three rows
+    by_role = {r.role: r.n for r in sums}
     tokens, train = sum(by_role.values()), by_role.get(TRAIN, 0) + by_role.get(TRAIN_DELETED, 0)
-    bits = max(0, int(-(-tokens // BUCKET_TOKENS) - 1).bit_length())
-    n = min(1 << (bits + 1), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sent = blocks.mapInArrow(_sent(bits), _SENT_SCHEMA)
-    counts = stored(sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_added, _BACK_SCHEMA))
-    sums = counts.filter("order = 1").agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("left"), F.lit(0)).alias("left")).first()
-    run = _held_out_cells(by_role.get(TRAIN, 0))
-    pairs = blocks.filter("deleted").groupBy("block").cogroup(counts.filter("deleted").groupBy("block"))
-    # at most BUCKETS x 2^20 cells, a few thousand in practice: components are shares of counts
-    cells = pairs.applyInArrow(run, "cell bigint, n bigint, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).orderBy("cell").collect()
-    held = np.array([(c.cell >> 20, c.n, c.p2, c.p1) for c in cells], float).reshape(-1, 4)
-    return Model(blocks, counts, Weights(fit_weights(held, sums.left), train, sums.kinds))
+    bits = _bits(tokens, sizes)
+    counts = stored(_totals(blocks.mapInArrow(_sent(bits), _SENT_SCHEMA), tokens, bits, 0, sizes))
+    kinds = counts.filter("ord = 1").agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("left"), F.lit(0)).alias("left")).first()
+    folder = workspace(spark)
+    held = stored(_paired(blocks.filter("deleted"), counts.filter("gone IS NOT NULL").select("src", "sub", "ord", "counts", "gone"), n_blocks).applyInArrow(_held_out(by_role.get(TRAIN, 0)), _HELD_SCHEMA), folder)
+    w = fit_weights(held, kinds.left)
+    dropped(spark, folder)
+    return Model(blocks, n_blocks, counts, Weights(w[:-1].reshape(2, BUCKETS), float(w[-1]), train, kinds.kinds))
 
 
 def _role_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +473,7 @@ def _role_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scored(model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    return model.blocks.groupBy("block").cogroup(model.counts.select("bucket", "block", "order", "counts").groupBy("block")).applyInArrow(_scores(model.weights), _SCORE_SCHEMA)
+    return _paired(model.blocks, model.counts.select("src", "sub", "ord", "counts"), model.n_blocks).applyInArrow(_scores(model.weights), _SCORE_SCHEMA)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

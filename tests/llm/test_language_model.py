@@ -1,8 +1,9 @@
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from claimloom.llm import language_model as m
@@ -17,84 +18,116 @@ def fold(d):
     return zlib.crc32(b"" if d is None else str(d).encode()) % 7
 
 
+def contexts(w):
+    return zip([None, None, *w], [None, *w], w)
+
+
 class Brute:
     """The same model by plain dictionaries."""
 
     def __init__(self, docs, weights=None):
-        self.c1, self.c2, self.d1, self.d2 = Counter(), Counter(), Counter(), Counter()
+        self.all, self.gone = [Counter(), Counter(), Counter(), Counter()], [Counter(), Counter(), Counter(), Counter()]
         for d, t in docs:
             if fold(d) != 2:
-                w = tokens(t)
-                for one, two in ((self.c1, self.c2), *([(self.d1, self.d2)] if fold(d) == 0 else [])):
-                    one.update(w)
-                    two.update(zip([None, *w], w))
-        self.n, self.v = sum(self.c1.values()), len(self.c1)
+                for counts in (self.all, *([self.gone] if fold(d) == 0 else [])):
+                    for a, b, c in contexts(tokens(t)):
+                        counts[0][c] += 1
+                        counts[1][b, c] += 1
+                        counts[2][a, b, c] += 1
+                        counts[3][a, b] += 1
+        self.n, self.v = sum(self.all[0].values()), len(self.all[0])
         self.weights = weights if weights is not None else self.fit(docs)
 
-    @staticmethod
-    def bucket(c):
-        return min(c.bit_length(), m.BUCKETS - 1)
+    def parts(self, x, counts, n):
+        """Estimates of orders 3, 2, 1 and the contexts' buckets."""
+        a, b, c = x
+        tu, u = counts[3][a, b], counts[0][b]
+        return counts[2][x] / max(tu, 1), counts[1][b, c] / max(u, 1), counts[0][c] / max(n, 1), tu.bit_length(), u.bit_length()
 
     def fit(self, docs):
-        """EM over every held-out token, without cells."""
-        n, v = self.n - sum(self.d1.values()), sum(self.c1[w] > self.d1[w] for w in self.c1)
-        rows = {}
-        for d, t in docs:
-            if fold(d) == 0:
-                w = tokens(t)
-                for a, b in zip([None, *w], w):
-                    cu = self.c1[a] - self.d1[a]
-                    rows.setdefault(self.bucket(cu), []).append(((self.c2[a, b] - self.d2[a, b]) / max(cu, 1), (self.c1[b] - self.d1[b]) / max(n, 1), 1 / (v + 1)))
-        out = np.tile(np.array(m.DEFAULT), (m.BUCKETS, 1))
-        out[0] = (0, 2 / 3, 1 / 3)
-        for b, p in rows.items():
-            p, start = np.array(p), out[b].copy()
-            for _ in range(60):
-                s = p * out[b]
-                new = (s / s.sum(axis=1, keepdims=True)).sum(axis=0) + start
-                out[b] = new / new.sum()
-        return out
+        """EM over every held-out token."""
+        left = [x - y for x, y in zip(self.all, self.gone)]
+        n, v = sum(left[0].values()), len(left[0])
+        rows = [self.parts(x, left, n) for d, t in docs if fold(d) == 0 for x in contexts(tokens(t))]
+        if not rows:
+            return m.start_weights()
+        l3, l2, l1, last = defaultdict(lambda: 0.5, {0: 0.0}), defaultdict(lambda: 0.5, {0: 0.0}), 0.5, None
+        while True:
+            asked, took, now = defaultdict(float), defaultdict(float), 0.0
+            for p3, p2, p1, i, j in rows:
+                low1 = l1 * p1 + (1 - l1) / (v + 1)
+                low2 = l2[j] * p2 + (1 - l2[j]) * low1
+                p = l3[i] * p3 + (1 - l3[i]) * low2
+                now += math.log(p)
+                s3 = l3[i] * p3 / p
+                s2 = (1 - s3) * l2[j] * p2 / low2
+                for key, one, share in ((("3", i), 1, s3), (("2", j), 1 - s3, s2), ("1", 1 - s3 - s2, (1 - s3 - s2) * l1 * p1 / low1)):
+                    asked[key] += one
+                    took[key] += share
+            new = {k: (took[k] + 0.5) / (asked[k] + 1) for k in asked}
+            l3 = defaultdict(lambda: 0.5, {k[1]: x for k, x in new.items() if k[0] == "3"} | {0: 0.0})
+            l2 = defaultdict(lambda: 0.5, {k[1]: x for k, x in new.items() if k[0] == "2"} | {0: 0.0})
+            l1 = new["1"]
+            if last is not None and now - last < m.GAIN * len(rows):
+                return np.array([l3[i] for i in range(m.BUCKETS)] + [l2[i] for i in range(m.BUCKETS)] + [l1])
+            last = now
+
+    def probability(self, x):
+        p3, p2, p1, i, j = self.parts(x, self.all, self.n)
+        l3, l2, l1 = self.weights[i], self.weights[m.BUCKETS + j], self.weights[-1]
+        return l3 * p3 + (1 - l3) * (l2 * p2 + (1 - l2) * (l1 * p1 + (1 - l1) / (self.v + 1)))
 
     def score(self, text):
         w = tokens(text)
-        base = sum(math.log10((self.c1[x] + 1) / (self.n + self.v + 1)) for x in w)
-        total = 0.0
-        for a, b in zip([None, *w], w):
-            k = self.weights[self.bucket(self.c1[a])]
-            total += math.log10(k[0] * self.c2[a, b] / max(self.c1[a], 1) + k[1] * self.c1[b] / max(self.n, 1) + k[2] / (self.v + 1))
-        return len(w), sum(self.c1[x] > 0 for x in w), base, total
+        base = sum(math.log10((self.all[0][x] + 1) / (self.n + self.v + 1)) for x in w)
+        return len(w), sum(self.all[0][x] > 0 for x in w), base, sum(math.log10(self.probability(x)) for x in contexts(w))
 
 
-@pytest.mark.parametrize("block", [1 << 21, 3000])
-def test_query_against_dictionaries(spark, sf, monkeypatch, block):
-    monkeypatch.setattr(m, "BUCKET_TOKENS", 20 * block)
-    df = spark.read.parquet(f"{sf}/documents.parquet")
-    docs = [(r.doc_id, r.text) for r in df.collect()]
-    model = m.learn(df.repartition(3 if block > 3000 else 40))
-    brute = Brute(docs)
-    assert np.abs(model.weights.by_bucket - brute.weights).max() < 0.02  # cells against single tokens
-    same = Brute(docs, model.weights.by_bucket)
-    rows = (m.scored(model) if block == 3000 else QUERIES["op6_deleted_interpolation"](spark, sf)).collect()
+@pytest.fixture(scope="module")
+def brute(sf):
+    docs = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    docs = [(r["doc_id"], r["text"]) for r in docs]
+    return docs, Brute(docs)
+
+
+def compared(rows, docs, brute):
     assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in docs)
     text = dict(docs)
     better = 0
     for r in rows:
-        n, known, base, total = same.score(text[r.doc_id])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(r.doc_id) == 2, n, known, same.n)
+        n, known, base, total = brute.score(text[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(r.doc_id) == 2, n, known, brute.n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, total, rel_tol=1e-6)
         better += r.held_out and r.score > r.base_score
     assert better > 0.9 * sum(r.held_out for r in rows)
 
 
+def test_query_against_dictionaries(spark, sf, brute):
+    compared(QUERIES["op6_deleted_interpolation"](spark, sf).collect(), *brute)
+
+
+def test_levels_of_groups_give_the_same(spark, sf, brute):
+    """Small blocks, buckets and groups: sums go up two levels and come back."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    total = sum(len(tokens(t)) for _, t in brute[0])
+    model = m.learn(df.repartition(5), block_tokens=total // 12, bucket_tokens=total // 40, group_tokens=total // 6, cut=2)
+    assert np.allclose(np.append(model.weights.by_order.ravel(), model.weights.first), brute[1].weights, atol=1e-9)
+    compared(m.scored(model).collect(), *brute)
+
+
 def test_probabilities_sum_to_one():
     docs = [(i, t) for i, t in enumerate(["a b a c", "b a", "a b c d", "d d a b", "c a b"] * 5)]
-    brute = Brute(docs)
-    for u in brute.c1:
-        k = brute.weights[brute.bucket(brute.c1[u])]
-        total = sum(k[0] * brute.c2[u, w] / brute.c1[u] + k[1] * brute.c1[w] / brute.n + k[2] / (brute.v + 1) for w in brute.c1) + k[2] / (brute.v + 1)
+    b = Brute(docs)
+    for t, u in b.all[3]:
+        total = sum(b.probability((t, u, w)) for w in b.all[0]) + b.probability((t, u, b"never seen"))
         assert abs(total - 1) < 1e-9
 
 
+def test_context_buckets():
+    c = np.array([0, 1, 2, 3, 4, 7, 8, 2**40 - 1, 2**40, 2**60 - 1, 2**62])
+    assert m.context_bucket(c).tolist() == [int(x).bit_length() for x in c]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0), (None, "", 0), (3, "A b", 1), (3, "A b", 1), (4, "a  B\n", 2)], "doc_id bigint, text string, score int")
     rows = m.scores(docs).collect()
