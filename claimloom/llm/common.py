@@ -32,9 +32,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder in the shared folder of ``spark.checkpoint.dir``, or in the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
-    return f"{base.rstrip('/')}/claimloom-{uuid.uuid4().hex}"
+    """A new folder in the shared folder of ``spark.checkpoint.dir``, with its scheme; in the warehouse where that is unset on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/claimloom-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:

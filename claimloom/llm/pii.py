@@ -18,7 +18,9 @@ with its identifiers to the power 1.5 at most, and with the terms of each text t
 
 Defined cases: a null text has no spans and stays null. Null ids, repeated rows and further columns are
 kept: results are joined by a digest of the text, never by id. Equal texts get equal spans. An
-identifier in every document has no information content and no disclosing terms. No rows give no rows.
+identifier in every document has no information content and no disclosing terms. A very long text is one expression's
+work, in time by sorting. Terms that disclose several identifiers take the highest share; a term at GENERALISE or REMOVE
+exactly is generalised or removed. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -264,8 +266,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     names = {k: unused(docs, f"_pii_{k}") for k in BASE}
     key, added, mentions = (unused(docs, f"_pii_{x}") for x in ("key", "added", "mentions"))
     df = identified(docs, text_col, names).withColumn(mentions, _mentions(names))
-    # texts without identifiers meet nothing; their keys are spread
-    df = df.withColumn(key, F.when(F.size(mentions) > 0, F.md5(F.col(text_col).cast("binary"))).otherwise(F.concat(F.lit("-"), F.xxhash64(text_col).cast("string"))))
+    # rows without identifiers meet nothing; their keys differ with their ids, so null texts and copies are spread
+    df = df.withColumn(key, F.when(F.size(mentions) > 0, F.md5(F.col(text_col).cast("binary"))).otherwise(F.concat(F.lit("-"), F.xxhash64(id_col, text_col).cast("string"))))
     df = df.join(found.added.select(F.col("key").alias(key), F.col("added").alias(added)), key, "left")
     item = lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["kind"].alias("kind"))
     every = F.array_sort(F.concat(F.transform(mentions, item), F.coalesce(F.transform(added, item), F.array().cast("array<struct<start:int,less:int,kind:string>>"))))

@@ -1,9 +1,8 @@
-from collections import defaultdict
-
 import corpus_pipeline as c
 from claimloom.llm import packing, quality_classifier, quality_rules
-from tests.llm import test_packing, test_pii, test_simhash
 from claimloom.llm import pii
+from tests.llm import test_near_copies, test_packing, test_pii
+from tests.llm.test_hard_tables import hard  # noqa: F401
 
 
 def marked(text, spans):
@@ -24,12 +23,8 @@ def test_against_brute_force(spark, sf):
     rows = {r.doc_id: r for r in docs.collect() if r.doc_id in fit}
     ruled = {r.doc_id for r in quality_rules.ledger(docs).collect() if r.kept}
     rows = {d: r for d, r in rows.items() if d in ruled}
-    fp = {d: test_simhash.brute_fingerprint(r.text) for d, r in rows.items()}
-    label = test_simhash.brute_classes(fp.values())
-    groups = defaultdict(list)
-    for d in rows:
-        groups[label[fp[d]]].append(d)
-    left = sorted(min(g) for g in groups.values())
+    ids = sorted(rows)
+    left = sorted(test_near_copies.survivors([rows[d].text for d in ids], ids))
     texts = [rows[d].text for d in left]
     clean = {d: marked(t, s) for d, t, s in zip(left, texts, test_pii.brute(texts))}
     got = c.run(spark, sf).collect()
@@ -51,3 +46,21 @@ def test_empty(spark, sf):
     for _, stage in c.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_hard_table(spark, sf, hard):  # noqa: F811
+    """Nulls, repeated ids and clashing names go through all stages; the last one's rows come from those that were kept."""
+    docs = hard
+    for name, stage in c.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == hard.columns and docs.dtypes == hard.dtypes, name
+    kept = docs.collect()
+    pieces = c.STAGES[-1][1](spark, docs, sf).collect()
+    assert sum(r.length for r in pieces) == sum(len((r.text or "").encode()) + 1 for r in kept)
+
+
+def test_near_duplicates_of_repeated_ids(spark, sf):
+    rows = [(1, "one text of quite a few words here"), (1, "and another text of the same id here"), (None, "one text of quite a few words here"), (2, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = dict(c.STAGES)["simhash"](spark, df, sf).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[1], rows[3]]))
