@@ -35,9 +35,9 @@ from claimloom.llm.common import binaries, unused, utf8
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 #: Fragments that an encoder remembers, and the longest of them.
-REMEMBERED, LONGEST = 1_000_000, 48
+REMEMBERED, LONGEST = 700_000, 48
 #: Characters of text encoded at a time.
-_AT_ONCE = 1 << 23
+_AT_ONCE = 1 << 21
 
 
 @functools.cache
@@ -105,7 +105,7 @@ class Encoder:
         for i, added in tokenizer.get_added_tokens_decoder().items():
             self._lengths[i] = len(added.content.encode())
         # remembered fragments: where each one's ids are in one array
-        self.known = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -113,13 +113,12 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
                 yield np.array(e.ids, "<u4")
 
-    def _fragments(self, fragments: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _fragments(self, fragments: list[str], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of fragments with a space before each, and the number of each one's ids: encoded together, then cut where their bytes end."""
         for i in range(0, len(fragments), 2048):
-            some = fragments[i : i + 2048]
-            (ids,) = self._encode([f" {' '.join(some.to_pylist())}"])
+            (ids,) = self._encode([f" {' '.join(fragments[i : i + 2048])}"])
             ends = np.cumsum(self._lengths[ids])
-            own = np.cumsum(1 + pc.binary_length(some).to_numpy(zero_copy_only=False))
+            own = np.cumsum(1 + sizes[i : i + 2048])
             cuts = np.searchsorted(ends, own)
             if not np.array_equal(ends[cuts], own):
                 raise ValueError("a token spans two fragments")
@@ -142,11 +141,14 @@ class Encoder:
         """The ids of each text, given the fragments of all texts in a row and where each text's begin."""
         coded = flat.dictionary_encode()
         own, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        at = pc.fill_null(pc.index_in(own, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        names, get = own.to_pylist(), self.known.get
+        at = np.fromiter((get(x, -1) for x in names), np.int64, len(names))
         loose = pc.not_equal(pc.utf8_rtrim_whitespace(own), own).to_numpy(zero_copy_only=False)  # the last of texts that end in white space
         joint, single = np.flatnonzero((at < 0) & ~loose), np.flatnonzero((at < 0) & loose)
-        new = [*self._fragments(own.take(pa.array(joint)))]
-        alone = [*self._encode([f" {f}" for f in own.take(pa.array(single)).to_pylist()])]
+        length = pc.binary_length(own).to_numpy(zero_copy_only=False)
+        fresh_names = [names[i] for i in joint.tolist()]
+        new = [*self._fragments(fresh_names, length[joint])]
+        alone = [*self._encode([f" {names[i]}" for i in single.tolist()])]
         heads = [*self._encode(flat.take(pa.array(cuts[:-1])).to_pylist())]
         more = [x for x, _ in new]
         sizes = np.concatenate([*[n for _, n in new], [len(x) for x in alone], [len(x) for x in heads], np.zeros(0, np.int64)]).astype(np.int64)
@@ -157,8 +159,8 @@ class Encoder:
         start[known], size[known] = self.starts[at[known]], self.sizes[at[known]]
         start[fresh], size[fresh] = starts[: len(fresh)], sizes[: len(fresh)]
         if len(self.known) < REMEMBERED:
-            keep = np.flatnonzero(pc.binary_length(own.take(pa.array(joint))).to_numpy(zero_copy_only=False) <= LONGEST)
-            self.known = pa.concat_arrays([self.known, own.take(pa.array(joint[keep]))])
+            keep = np.flatnonzero(length[joint] <= LONGEST)
+            self.known.update(zip((fresh_names[i] for i in keep.tolist()), range(len(self.known), len(self.known) + len(keep))))
             self.starts, self.sizes = np.append(self.starts, starts[keep]), np.append(self.sizes, sizes[keep])
             self.ids = np.concatenate([self.ids, *more])
         s, n = start[index], size[index]

@@ -10,13 +10,15 @@ each block and of each document is indexed, so one document is read without the
     blocks   minimum (4 bytes), width (1), exceptions (1), packed ids (16 x width), positions (1 each), high parts (4 each)
     footer   crc32 of everything before (4 bytes)
 
-``write`` deals documents by ranges of their id (nulls first, ties by text), sorts each range, and
+``write`` deals documents by ranges of their id (nulls first, ties by a digest of the text, so null and
+repeated ids are dealt too), sorts each range, and
 writes a file for about IDS_PER_FILE ids with the tokens encoded on the way; files appear under
 their final name only when whole, so a task that runs twice does no harm. ``read`` gets the files
 back through Spark's binary reader, checks them, and adds each document's start in the whole corpus.
 
 Defined cases: a null text is empty; each document ends with END, so none has no ids. Null ids
-come first. Repeated rows are written as often as they come. No documents, no files and no rows.
+come first. Repeated rows are written as often as they come. A very long text is encoded in one piece, in a file that
+then holds more than IDS_PER_FILE ids. Further columns aren't read, whatever their names. No documents, no files and no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ MAGIC = b"PFOR0001"
 BLOCK = 128
 PERCENTILE = 90
 END = 0
-IDS_PER_FILE = 1 << 22
+IDS_PER_FILE = 1 << 20
+#: Rows of an Arrow batch that are held as Python values at a time.
+_ROWS = 512
 _BLOCKS_AT_ONCE = 1 << 13
 _HEAD = struct.Struct("<8s4Q")
 
@@ -194,7 +198,7 @@ def _writer(folder: str, tokenizer: str, percentile: int, ids_per_file: int):
             data.clear()
 
         held = 0
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             for d, ids in zip(b.column(0).to_pylist(), encode(x.decode("utf-8", "replace") for x in binaries(b.column(1)))):
                 names.append(d)
                 data.append(ids + end)
@@ -214,8 +218,9 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     """Writes the files into a shared folder. Returns the manifest, a row per file with the ids before it (``base``)."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest")]
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").drop("digest")
     run = _writer(folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), percentile, ids_per_file)
     files = stored(rows.mapInArrow(run, "name string, part bigint, seq bigint, docs bigint, ids bigint, bytes bigint"), f"{folder}/_manifest")
     # one row per partition, then one per file: neither grows with the documents of a file
