@@ -1,11 +1,14 @@
-"""Reading JSON out of annotators' answers: strict first, then cut out, then repaired, as expressions.
+"""Reading JSON out of annotators' answers: strict first, then cut out, then repaired.
 
-Accepted faults: a fence, prose around the value, trailing commas, unquoted keys, single quotes.
-Anything else is refused (null).
+Accepted faults: a fence, prose around the value, trailing commas, unquoted keys, single quotes. A repair
+works on the marks of the text, so what stands in a string is never touched. Anything else is refused (null).
 """
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,11 +41,44 @@ def outer_braces(c: Column) -> Column:
     return F.regexp_extract(c, r"(?s)\{.*\}", 0)
 
 
+#: Strings of either quote, runs of letters and digits, and single other characters; white space between them is dropped.
+_MARK = r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\w+|\S"""
+
+
 def repaired(c: Column) -> Column:
-    """Without trailing commas, keys quoted, single quotes doubled."""
-    no_commas = F.regexp_replace(c, r",\s*([}\]])", "$1")
-    quoted = F.regexp_replace(no_commas, r"([{,]\s*)(\w+)(\s*:)", '$1"$2"$3')
-    return F.replace(quoted, F.lit("'"), F.lit('"'))
+    """The marks joined again: strings in double quotes, bare keys quoted, commas before a closing bracket left out."""
+
+    def mended(marks: Column) -> Column:
+        def one(mark: Column, i: Column) -> Column:
+            before, after = F.get(marks, i - 1), F.get(marks, i + 1)
+            inner = F.replace(F.replace(F.substring(mark, F.lit(2), F.length(mark) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+            single = mark.startswith("'") & (F.length(mark) > 1)
+            key = mark.rlike(r"^\w+$") & (after == ":") & before.isin("{", ",")
+            return F.when(single, F.concat(F.lit('"'), inner, F.lit('"'))).when(key, F.concat(F.lit('"'), mark, F.lit('"'))).when((mark == ",") & after.isin("}", "]"), "").otherwise(mark)
+
+        return F.array_join(F.transform(marks, one), "")
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(c, F.lit(_MARK), F.lit(0))), mended), 0)
+
+
+def _values_in(text: str | None) -> list[str]:
+    """The JSON objects and lists in a text, the outermost that can be read, in order."""
+    out, at, read = [], 0, json.JSONDecoder().raw_decode
+    text = text or ""
+    while True:
+        starts = [i for i in (text.find("{", at), text.find("[", at)) if i >= 0]
+        if not starts:
+            return out
+        try:
+            value, at = read(text, min(starts))
+            out.append(json.dumps(value, ensure_ascii=False))
+        except (ValueError, RecursionError):
+            at = min(starts) + 1
+
+
+def values_in(c: Column) -> Column:
+    """array<string>: the JSON objects and lists that stand in a text."""
+    return F.arrow_udf(lambda x: pa.array([_values_in(t) for t in x.to_pylist()], pa.list_(pa.string())), "array<string>")(c)
 
 
 def answer(c: Column) -> Column:
@@ -69,17 +105,16 @@ def _claims(v: Column, path: str = "$") -> Column:
 def first_version_claims(c: Column) -> Column:
     """Claims of a first-version answer.
 
-    Whole JSON: the list under ``results`` or a bare list; an object without ``results`` has none.
-    Only where that fails: the list of the first ``{"results": [...]}`` in the text, else every
-    ``{"agent_name"...}`` that can be read alone.
+    Whole JSON: the list under ``results`` or a bare list; an object without ``results`` has none. Only
+    where that fails: the list of the first object with ``results`` in the text, else every
+    object with an agent's name that can be read alone.
     """
-    whole = strict(c)
+    whole, none = strict(c), F.array().cast(CLAIMS)
     listed = F.coalesce(_claims(whole, "$.results"), F.when(is_list(whole), _claims(whole)))
-    none = F.array().cast(CLAIMS)
-    inner = strict(F.regexp_extract(c, r'(?s)\{\s*"results"\s*:\s*(\[.*?\])\s*\}', 1))
-    loose = F.transform(F.regexp_extract_all(c, F.lit(r'(?s)(\{\s*"agent_name".*?\})'), F.lit(1)), lambda x: F.from_json(F.when(strict(x).isNotNull(), x), CLAIM))
-    from_text = F.coalesce(_claims(inner), F.filter(loose, lambda x: x.isNotNull()))
-    return F.when(whole.isNotNull(), F.coalesce(listed, none)).otherwise(F.coalesce(from_text, none))
+    inside = values_in(F.when(whole.isNull(), c))
+    lists = F.filter(F.transform(inside, lambda x: _claims(strict(x), "$.results")), lambda x: x.isNotNull())
+    loose = F.filter(F.transform(inside, lambda x: F.from_json(x, CLAIM)), lambda x: x["agent_name"].isNotNull())
+    return F.when(whole.isNotNull(), F.coalesce(listed, none)).otherwise(F.coalesce(F.get(lists, 0), loose, none))
 
 
 def second_version_value(c: Column, key: str | None) -> Column:
@@ -101,3 +136,11 @@ def list_under(c: Column, key: str) -> Column:
 def first_list(v: Column, keys: tuple[str, ...]) -> Column:
     """The claims under the first of several keys that holds a list, else none."""
     return F.coalesce(*[_claims(v, f"$.{k}") for k in keys], F.array().cast(CLAIMS))
+
+
+def complete(v: Column, keys: tuple[str, ...] = ("answer", "reasoning")) -> Column:
+    """True for an object whose fields under all keys are there and not blank."""
+    out = is_object(v)
+    for k in keys:
+        out = out & (F.trim(F.try_variant_get(v, f"$.{k}", "string")) != "")
+    return F.coalesce(out, F.lit(False))
