@@ -11,14 +11,16 @@ import hashlib
 import json
 import re
 import time
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 class Annotator(Protocol):
@@ -100,39 +102,36 @@ def annotated(texts: DataFrame, factories: dict[str, Callable[[], Annotator]], i
 
 
 def hashing_encoder(dimensions: int = 64) -> Callable[[Column], Column]:
-    """A vectorised UDF: unit vectors of hashed words, the same everywhere; a text without words gives zeros."""
+    """A vectorised UDF: unit vectors of hashed words, the same everywhere; a text without words gives zeros.
 
-    def encode(text: str | None) -> np.ndarray:
-        v = np.zeros(dimensions, np.float32)
-        for w in (text or "").lower().split():
-            h = hashlib.blake2b(w.encode(), digest_size=8).digest()
-            v[int.from_bytes(h[:4], "little") % dimensions] += 1 if h[4] & 1 else -1
-        n = float(np.linalg.norm(v))
-        return v / n if n else v
+    A word's MD5 says its dimension (first four bytes, little-endian) and its sign (odd fifth byte: plus). Words
+    are those between ASCII white space, with A-Z in lower case; each distinct word of a batch is hashed once.
+    """
 
     def batch(text: pa.Array) -> pa.Array:
-        return pa.array([encode(t).tolist() for t in text.to_pylist()], pa.list_(pa.float32()))
+        rows = [x.lower().split() for x in pc.fill_null(text.cast(pa.binary()), b"").to_pylist()]
+        place: defaultdict[bytes, int] = defaultdict(count().__next__)
+        at = np.fromiter((place[w] for r in rows for w in r), np.int64, sum(map(len, rows)))
+        digests = np.frombuffer(b"".join(hashlib.md5(w).digest() for w in place), np.uint8).reshape(-1, 16)
+        where = (np.ascontiguousarray(digests[:, :4]).view("<u4")[:, 0] % dimensions).astype(np.int64)
+        sign = np.where(digests[:, 4] & 1, 1.0, -1.0)
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        v = np.bincount(owner * dimensions + where[at], sign[at], len(rows) * dimensions).reshape(-1, dimensions)
+        v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dimensions), pa.array(v.astype(np.float32).ravel()))
 
     return F.arrow_udf(batch, "array<float>")
 
 
-_TITLES = re.compile(r"^(?:(?:mr|mrs|ms|dr|prof|president|minister|senator|sir|lord|lady|pm|mp)\.?\s+)+", re.IGNORECASE)
-_COMPANY = re.compile(r"\b(?:inc|ltd|llc|corp|plc|gmbh|university|council|party|agency|union|institute|ministry|office|group|committee)\b", re.IGNORECASE)
-
-
-def recognised_name(name: str | None, kind: str | None) -> str | None:
-    """The named entity in an agent's name, by rules: titles and what follows a comma go; null where the kind doesn't fit."""
-    if not name or kind is None:
-        return None
-    bare = _TITLES.sub("", name.split(",")[0].split("(")[0].strip()).strip()
-    words = [w for w in bare.split() if w[:1].isupper()]
-    if not words:
-        return None
-    is_company = bool(_COMPANY.search(bare))
-    fits = is_company if kind.lower() == "organization" else not is_company and kind.lower() == "person"
-    return " ".join(words) if fits else None
+_TITLES = r"(?i)^(?:(?:mr|mrs|ms|dr|prof|president|minister|senator|sir|lord|lady|pm|mp)\.?\s+)+"
+_COMPANY = r"(?i)\b(?:inc|ltd|llc|corp|plc|gmbh|university|council|party|agency|union|institute|ministry|office|group|committee)\b"
 
 
-@F.arrow_udf(StringType())
-def ner(name: pa.Array, kind: pa.Array) -> pa.Array:
-    return pa.array([recognised_name(n, k) for n, k in zip(name.to_pylist(), kind.to_pylist())], pa.string())
+def ner(name: Column | str, kind: Column | str) -> Column:
+    """The named entity in an agent's name, by rules: titles and what follows a comma or bracket go; null where the kind doesn't fit."""
+    name, kind = (F.col(c) if isinstance(c, str) else c for c in (name, kind))
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_extract(name, r"^[^,(]*", 0)), _TITLES, ""))
+    words = F.filter(F.split(bare, r"\s+"), lambda w: w.rlike(r"^\p{Lu}"))
+    company = bare.rlike(_COMPANY)
+    fits = F.when(F.lower(kind) == "organization", company).when(F.lower(kind) == "person", ~company)
+    return F.when(fits & (F.size(words) > 0), F.array_join(words, " "))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import first_topic, instance_uri, md5_id, organization_class, rfc3339, slug, url_quoted, utterance_class
 
+#: The vocabularies' addresses, and the label texts "News Source: " and "Claim n in article" below.
 VOCABULARY = "http://example.org/claims/"
 TIME = "http://www.w3.org/2006/time#"
 SCHEMA = "https://schema.org/"
@@ -70,14 +71,11 @@ class Emitter:
     def claim(self, text: Column, article: Column, name: Column) -> Column:
         return self.uri("Claim", md5_id(text, article, name))
 
-    def news_items(self, articles: DataFrame) -> DataFrame:
-        """Type, title, text, address and time of each article; a row without article_id has none."""
-        rows = articles.filter(F.col("article_id") != "")
+    def _news(self) -> list[Column]:
         s = self.article(F.col("article_id"))
         instant = self.uri("Instant", url_quoted(slug(F.col("article_id"))))
         dated = F.when(F.col("date") != "", instant)
-        return emitted(
-            rows,
+        return [
             iri(s, RDF_TYPE, self.term("NewsItem")),
             literal(s, self.term("hasTitle"), F.col("title")),
             literal(s, LABEL, F.col("title")),
@@ -86,33 +84,44 @@ class Emitter:
             iri(dated, RDF_TYPE, f"{TIME}Instant"),
             literal(dated, f"{TIME}inXSDDateTimeStamp", rfc3339(F.col("date")), f"{XSD}dateTimeStamp"),
             iri(F.when(F.col("date") != "", s), f"{TIME}hasTime", instant),
-        )
+        ]
 
-    def sources(self, articles: DataFrame) -> DataFrame:
-        """Publishers and news sources, where name and domain are given; every distinct pair is linked."""
-        rows = articles.filter((F.col("article_id") != "") & (F.col("publisher") != "") & (F.col("domain") != ""))
-        p, n, s = self.uri("Publisher", slug(F.col("publisher"))), self.uri("NewsSource", slug(F.col("domain"))), self.article(F.col("article_id"))
-        return emitted(
-            rows,
+    def _sources(self) -> list[Column]:
+        given = (F.col("publisher") != "") & (F.col("domain") != "")
+        p, n = (F.when(given, self.uri(kind, slug(F.col(c)))) for kind, c in (("Publisher", "publisher"), ("NewsSource", "domain")))
+        return [
             iri(p, RDF_TYPE, self.term("Publisher")),
             iri(p, RDF_TYPE, self.term("Organization")),
             literal(p, LABEL, F.col("publisher")),
             iri(n, RDF_TYPE, self.term("NewsSource")),
             literal(n, LABEL, F.concat(F.lit("News Source: "), F.col("domain"))),
             iri(n, self.term("hasPublisher"), p),
-            iri(s, self.term("hasNewsSource"), n),
-        ).distinct()
+            iri(self.article(F.col("article_id")), self.term("hasNewsSource"), n),
+        ]
 
-    def topics(self, articles: DataFrame) -> DataFrame:
-        rows = articles.filter(F.col("article_id") != "")
+    def _topics(self) -> list[Column]:
         t, s = self.topic(F.col("article_id")), self.article(F.col("article_id"))
-        return emitted(
-            rows,
+        return [
             iri(t, RDF_TYPE, self.term("Topic")),
             literal(t, PREF_LABEL, first_topic(F.col("article_id"), part=1)),
             iri(F.when(t.isNotNull(), s), self.term("hasTopic"), t),
             iri(t, self.term("topicInNewsItem"), s),
-        ).distinct()
+        ]
+
+    def news_items(self, articles: DataFrame) -> DataFrame:
+        """Type, title, text, address and time of each article; a row without article_id has none."""
+        return emitted(articles.filter(F.col("article_id") != ""), *self._news())
+
+    def sources(self, articles: DataFrame) -> DataFrame:
+        """Publishers and news sources, where name and domain are given; every pair is linked."""
+        return emitted(articles.filter(F.col("article_id") != ""), *self._sources())
+
+    def topics(self, articles: DataFrame) -> DataFrame:
+        return emitted(articles.filter(F.col("article_id") != ""), *self._topics())
+
+    def about_articles(self, articles: DataFrame) -> DataFrame:
+        """News items, sources and topics in one pass."""
+        return emitted(articles.filter(F.col("article_id") != ""), *self._news(), *self._sources(), *self._topics())
 
     def agents(self, agents: DataFrame) -> DataFrame:
         """agents: agent_name, type_of_agent, classification, entity_id."""
@@ -126,27 +135,55 @@ class Emitter:
             iri(a, RDF_TYPE, self.term("Agent")),
             literal(a, LABEL, F.col("agent_name")),
             iri(a, f"{OWL}sameAs", F.when(F.col("entity_id") != "", F.concat(F.lit("https://www.wikidata.org/entity/"), F.col("entity_id")))),
-        ).distinct()
+        )
 
-    def claims(self, claims: DataFrame) -> DataFrame:
-        """claims: article_id, pos, agent_name, utterance_text, ...; claims are numbered by first appearance in their article."""
+    @staticmethod
+    def _once(claims: DataFrame) -> DataFrame:
+        """Each distinct claim of an article: its number by first appearance, and its first utterance."""
         rows = claims.filter(F.col("article_id") != "").withColumns({c: F.coalesce(c, F.lit("")) for c in ("utterance_text", "agent_name")})
-        once = rows.groupBy("article_id", "utterance_text", "agent_name").agg(F.min("pos").alias("pos"))
-        once = once.withColumn("n", F.row_number().over(Window.partitionBy("article_id").orderBy("pos", "utterance_text", "agent_name")))
+        place = F.struct("pos", "source_context", "utterance_type")
+        once = rows.groupBy("article_id", "utterance_text", "agent_name").agg(F.min(place).alias("u"))
+        return once.withColumn("n", F.row_number().over(Window.partitionBy("article_id").orderBy("u.pos", "utterance_text", "agent_name")))
+
+    def _claims(self) -> list[Column]:
         s = self.article(F.col("article_id"))
         c, t = self.claim(F.col("utterance_text"), s, F.col("agent_name")), self.topic(F.col("article_id"))
-        return emitted(
-            once,
+        return [
             iri(c, RDF_TYPE, self.term("Claim")),
             literal(c, LABEL, F.concat(F.lit("Claim "), F.col("n").cast("string"), F.lit(" in "), F.col("article_id"))),
             iri(c, self.term("claimInNewsItem"), s),
             iri(s, self.term("hasClaim"), c),
             iri(F.when(t.isNotNull(), c), self.term("concernsTopic"), t),
-        )
+        ]
+
+    def _utterances(self) -> list[Column]:
+        c = self.claim(F.col("utterance_text"), self.article(F.col("article_id")), F.col("agent_name"))
+        u = self.uri("Utterance", md5_id(F.col("u.source_context"), c))
+        kind = utterance_class(F.col("u.utterance_type"))
+        return [
+            iri(u, RDF_TYPE, self.term("Utterance")),
+            literal(u, self.term("hasText"), F.col("utterance_text")),
+            literal(u, self.term("hasTextContext"), F.col("u.source_context")),
+            iri(u, self.term("hasUtteranceType"), F.when(kind.isNotNull(), F.concat(F.lit(self.vocabulary), kind))),
+            iri(c, self.term("hasUtterance"), u),
+        ]
+
+    def claims(self, claims: DataFrame) -> DataFrame:
+        """claims: article_id, pos, agent_name, utterance_text, ...; claims are numbered by first appearance in their article."""
+        return emitted(self._once(claims), *self._claims())
+
+    def utterances(self, claims: DataFrame) -> DataFrame:
+        """The first utterance of each distinct claim."""
+        return emitted(self._once(claims), *self._utterances())
+
+    def about_claims(self, claims: DataFrame) -> DataFrame:
+        """Claims and utterances in one pass."""
+        return emitted(self._once(claims), *self._claims(), *self._utterances())
 
     def components(self, claims: DataFrame, agents: DataFrame) -> DataFrame:
         """Agents in their roles, linked to their claims; a claim whose agent isn't among its article's agents has none."""
-        known = agents.select("article_id", "agent_name", "type_of_agent", F.coalesce("classification", F.lit("AgentRole")).alias("role")).dropDuplicates(["article_id", "agent_name"])
+        known = agents.select("article_id", "agent_name", "type_of_agent", F.coalesce("classification", F.lit("AgentRole")).alias("role"))
+        known = known.groupBy("article_id", "agent_name").agg(F.min(F.struct("type_of_agent", "role")).alias("k")).select("article_id", "agent_name", "k.*")
         rows = claims.join(known, ["article_id", "agent_name"])
         a, r = self.agent(F.col("agent_name"), F.col("type_of_agent")), self.uri("AgentRole", slug(F.col("role")))
         k = self.uri("AgentComponent", slug(F.concat_ws("_", "agent_name", "role")))
@@ -161,31 +198,16 @@ class Emitter:
             iri(k, self.term("hasAgentRole"), r),
             iri(a, self.term("hasAgentRole"), r),
             iri(c, self.term("hasAgentComponent"), k),
-        ).distinct()
-
-    def utterances(self, claims: DataFrame) -> DataFrame:
-        """The first utterance of each distinct claim."""
-        rows = claims.filter(F.col("article_id") != "").withColumns({c: F.coalesce(c, F.lit("")) for c in ("utterance_text", "agent_name")})
-        first = rows.groupBy("article_id", "utterance_text", "agent_name").agg(F.min_by(F.struct("source_context", "utterance_type"), "pos").alias("u"))
-        c = self.claim(F.col("utterance_text"), self.article(F.col("article_id")), F.col("agent_name"))
-        u = self.uri("Utterance", md5_id(F.col("u.source_context"), c))
-        kind = utterance_class(F.col("u.utterance_type"))
-        return emitted(
-            first,
-            iri(u, RDF_TYPE, self.term("Utterance")),
-            literal(u, self.term("hasText"), F.col("utterance_text")),
-            literal(u, self.term("hasTextContext"), F.col("u.source_context")),
-            iri(u, self.term("hasUtteranceType"), F.when(kind.isNotNull(), F.concat(F.lit(self.vocabulary), kind))),
-            iri(c, self.term("hasUtterance"), u),
         )
 
     def graph(self, articles: DataFrame, agents: DataFrame, claims: DataFrame) -> DataFrame:
         """All triples about the articles, each once."""
-        return merged(self.news_items(articles), self.sources(articles), self.topics(articles), self.agents(agents), self.claims(claims), self.components(claims, agents), self.utterances(claims))
+        return merged(self.about_articles(articles), self.agents(agents), self.about_claims(claims), self.components(claims, agents))
 
 
 def cardinality_violations(graph: DataFrame, predicate: str, least: int = 1, most: int = 1, subject_type: str | None = None) -> DataFrame:
     """(s, n): subjects (of a type) with fewer or more than the allowed objects of a predicate."""
+    graph = merged(graph)
     n = graph.filter(F.col("p") == predicate).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     if subject_type is not None:
         n = graph.filter((F.col("p") == RDF_TYPE) & (F.col("o") == subject_type)).select("s").distinct().join(n, "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))

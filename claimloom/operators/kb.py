@@ -23,14 +23,48 @@ def properties(entities: DataFrame) -> DataFrame:
 
 
 def labelled(entities: DataFrame, languages: tuple[str, ...] = ("en",)) -> DataFrame:
-    """properties with the labels of values and of qualifiers' entities."""
+    """properties with the labels of values and of qualifiers' entities.
+
+    A row without an id gets a key that no entity has, made of its own entity's, so such rows are spread; popular
+    values are split by AQE, as an id has one label row.
+    """
     rows = properties(entities)
-    labels = entities.select(F.col("entity_id").alias("id"), in_languages(F.col("labels"), languages).alias("label"))
+    labels = entities.select(F.col("entity_id").alias("_key"), in_languages(F.col("labels"), languages).alias("_label"))
     for value, name in (("value_id", "value_label"), ("of_id", "of_label")):
-        rows = rows.join(labels.select(F.col("id").alias(value), F.col("label").alias(name)), value, "left")
+        keyed = rows.withColumn("_key", F.coalesce(value, F.concat(F.lit("\n"), "entity_id", F.lit("\n"), F.col("ord").cast("string"))))
+        rows = keyed.join(labels, "_key", "left").withColumnRenamed("_label", name).drop("_key")
     return rows
 
 
+KB_JSON = "struct<id:string,labels:map<string,struct<value:string>>,aliases:map<string,array<struct<value:string>>>,descriptions:map<string,struct<value:string>>,claims:map<string,array<string>>>"
+
+
+def from_json(c: Column) -> Column:
+    """A knowledge base's entity document (JSON) as a struct of entity_id, labels, aliases, descriptions and claims.
+
+    A statement's value is its main value: an entity's id, a time or a string; the qualifiers of start, end and
+    organisation are the first ones of P580, P582 and P642. A statement without a value is left out.
+    """
+    d = F.from_json(c, KB_JSON)
+    value = "$.mainsnak.datavalue.value"
+
+    def qualifier(x: Column, prop: str, field: str) -> Column:
+        return F.get_json_object(x, f"$.qualifiers.{prop}[0].datavalue.value.{field}")
+
+    def claim(prop: Column):
+        def of(x: Column, i: Column) -> Column:
+            plain = F.when(F.get_json_object(x, f"{value}.id").isNull() & F.get_json_object(x, f"{value}.time").isNull(), F.get_json_object(x, value))
+            fields = {"value_id": F.get_json_object(x, f"{value}.id"), "value_time": F.get_json_object(x, f"{value}.time"), "value_string": plain, "start_time": qualifier(x, "P580", "time"), "end_time": qualifier(x, "P582", "time"), "of_id": qualifier(x, "P642", "id")}
+            return F.struct(prop.alias("property"), i.cast("int").alias("ord"), *[v.alias(k) for k, v in fields.items()])
+
+        return of
+
+    listed = F.flatten(F.transform(F.map_entries(d["claims"]), lambda e: F.transform(e["value"], claim(e["key"]))))
+    there = F.filter(F.coalesce(listed, F.array().cast(f"array<{CLAIM}>")), lambda x: F.coalesce(x["value_id"], x["value_time"], x["value_string"]).isNotNull())
+    plain = lambda m: F.transform_values(m, lambda k, v: v["value"])
+    return F.struct(d["id"].alias("entity_id"), plain(d["labels"]).alias("labels"), F.transform_values(d["aliases"], lambda k, v: F.transform(v, lambda x: x["value"])).alias("aliases"), plain(d["descriptions"]).alias("descriptions"), there.alias("claims"))
+
+
 def _first(prop: str, c: Column) -> Column:
     """The value of a property's first row."""
     return F.min_by(F.when(F.col("property") == prop, c), F.when(F.col("property") == prop, F.col("ord")))

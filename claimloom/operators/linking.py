@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions import jsonladder
 from claimloom.functions.text import blank, clean_label, name_or_raw
 
 HUMAN = "Q5"
@@ -46,11 +47,25 @@ def candidates(agents: DataFrame, entities: DataFrame, name: str = "agent_name",
     A blank name or an unknown kind finds none. agents has the columns agent_id, ``name`` and ``kind``.
     """
     allowed = entities.select("entity_id", is_human("instance_of").alias("human"), is_organization("instance_of").alias("organization"))
-    named = names_of(entities).join(allowed, "entity_id")
-    asked = agents.filter(~blank(F.col(name))).select("agent_id", F.lower(F.trim(name)).alias("name"), F.lower(kind).alias("kind"))
-    hits = asked.join(named, "name").filter(((F.col("kind") == "person") & F.col("human")) | ((F.col("kind") == "organization") & F.col("organization")))
-    found = hits.groupBy("agent_id").agg(F.array_sort(F.collect_set("entity_id")).alias("candidates"))
-    return agents.join(found, "agent_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    ids = lambda c: F.array_sort(F.collect_set(F.when(F.col(c), F.col("entity_id"))))
+    # one row for each name before the agents come in, so an agent meets one row
+    by_name = names_of(entities).join(allowed, "entity_id").groupBy("name").agg(ids("human").alias("_humans"), ids("organization").alias("_organizations"))
+    # blank names find nothing; each gets a key of its own, so they don't meet in one task
+    key = F.when(blank(F.col(name)), F.concat(F.lit("\n"), F.col("agent_id").cast("string"))).otherwise(F.lower(F.trim(name)))
+    met = agents.withColumn("_name", key).join(by_name.withColumnRenamed("name", "_name"), "_name", "left")
+    found = F.when(F.lower(kind) == "person", F.col("_humans")).when(F.lower(kind) == "organization", F.col("_organizations"))
+    return met.withColumn("candidates", F.coalesce(found, F.array().cast("array<string>"))).drop("_name", "_humans", "_organizations")
+
+
+def accepted_answers(attempts: DataFrame, key: str = "agent_id") -> DataFrame:
+    """(key, attempt, answer, reasoning) of the first attempt with both fields, from (key, attempt, answer); null where none has.
+
+    An answer that isn't an object with a filled ``answer`` and ``reasoning`` is a failed try, and the next one counts.
+    """
+    v = jsonladder.answer(F.col("answer"))
+    ok = jsonladder.complete(v)
+    told = F.struct("attempt", F.try_variant_get(v, "$.answer", "string").alias("answer"), F.try_variant_get(v, "$.reasoning", "string").alias("reasoning"))
+    return attempts.groupBy(key).agg(F.min(F.when(ok, told)).alias("t")).select(key, "t.*")
 
 
 def route(n: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,14 @@ def missing_ids(articles: DataFrame, ids: DataFrame, id_col: str = "article_id")
     return ids.join(articles.select(F.col(id_col).alias("id")), "id", "left_anti").orderBy("pos").select("pos", "id")
 
 
+def _digest(row: Column) -> Column:
+    """A hash of a struct, so that of equal keys the same row is taken wherever it lies."""
+    return F.xxhash64(F.to_json(row))
+
+
 def resumable(checkpoints: DataFrame) -> DataFrame:
-    """The latest checkpoint of each article, where it succeeded and has claims and agents."""
-    latest = checkpoints.groupBy("article_id").agg(F.max_by(F.struct("*"), "timestamp").alias("c")).select("c.*")
+    """The latest checkpoint of each article, ties by a digest of the row, where it succeeded and has claims and agents."""
+    latest = checkpoints.groupBy("article_id").agg(F.max_by(F.struct("*"), F.struct("timestamp", _digest(F.struct("*")))).alias("c")).select("c.*")
     return latest.filter((F.col("status") == "success") & F.col("claims").isNotNull() & F.col("agents_info").isNotNull())
 
 
@@ -45,12 +50,12 @@ def condensed(articles: DataFrame, claims: DataFrame, agents: DataFrame) -> Data
     """A row per article: its columns, ``claims`` in order and ``agents_info``, a map from name.
 
     articles: article_id, ...; claims: article_id, pos, claim; agents: article_id, agent_name, info. Articles
-    without claims or agents get empty ones; repeated article ids and agent names are taken once.
+    without claims or agents get empty ones; of repeated article ids and agent names the row of least digest is taken.
     """
-    once = articles.dropDuplicates(["article_id"])
+    once = articles.groupBy("article_id").agg(F.min_by(F.struct("*"), _digest(F.struct("*"))).alias("r")).select("r.*")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "claim"))), lambda x: x["claim"])
     listed = claims.groupBy("article_id").agg(in_order.alias("claims"))
-    unique = agents.groupBy("article_id", "agent_name").agg(F.first("info").alias("info"))
+    unique = agents.groupBy("article_id", "agent_name").agg(F.min_by("info", _digest(F.struct("info"))).alias("info"))
     mapped = unique.groupBy("article_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent_name", "info")))).alias("agents_info"))
     both = once.join(listed, "article_id", "left").join(mapped, "article_id", "left")
     kinds = {c: both.schema[c].dataType for c in ("claims", "agents_info")}

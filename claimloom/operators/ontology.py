@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,17 +65,17 @@ def class_details(graph: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("s").alias("uri")).agg(_objects(SUB_CLASS, True).alias("superclasses"), _objects(LABEL).alias("labels"), _objects(COMMENT).alias("comments"))
 
 
-def closure(edges: DataFrame, root: str, deepest: int = DEEPEST) -> DataFrame:
+def closure(edges: DataFrame, root: str, deepest: int | None = None) -> DataFrame:
     """(node, level): nodes that reach the root by child-parent edges, and the fewest steps; the root is level 0.
 
-    A frontier is joined with the edges until nothing is new, at most ``deepest`` times, so cycles
-    end; each is checkpointed, so no plan holds the levels before it.
+    A frontier is joined with the edges until nothing is new, so cycles end; ``deepest`` stops earlier.
+    Each frontier is checkpointed, so no plan holds the levels before it.
     """
     spark = edges.sparkSession
     edges = edges.select("child", "parent").distinct()
     frontier = spark.createDataFrame([(root, 0)], "node string, level int")
     found = frontier
-    for level in range(1, deepest + 1):
+    for level in count(1) if deepest is None else range(1, deepest + 1):
         step = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(level).alias("level")).distinct()
         frontier = cut(step.join(found.select("node"), "node", "left_anti"))
         if not frontier.limit(1).count():
@@ -100,7 +102,7 @@ def hierarchy(graph: DataFrame, root: str = ORGANIZATION, prefix: str = SCHEMA)
     A class without a label gets its name; the root is always there.
     """
     edges = graph.filter((F.col("p") == SUB_CLASS) & (F.col("o_kind") == "iri")).select(F.col("s").alias("child"), F.col("o").alias("parent"))
-    below = closure(edges, root, DEEPEST).select(F.col("node").alias("child")).filter(F.col("child").startswith(prefix))
+    below = closure(edges, root).select(F.col("node").alias("child")).filter(F.col("child").startswith(prefix))
     own = edges.join(below, "child").distinct()
     told = graph.filter(F.col("p").isin(LABEL, COMMENT)).groupBy(F.col("s").alias("child")).agg(F.min(F.when(F.col("p") == LABEL, F.col("o"))).alias("label"), F.min(F.when(F.col("p") == COMMENT, F.col("o"))).alias("comment"))
     parents = own.groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("parents"))

@@ -56,11 +56,20 @@ def extracted(articles: DataFrame, settings: Settings) -> DataFrame:
     return agreed.drop("annotators").join(place, key)
 
 
-def linked(claims: DataFrame, entities: DataFrame, verify: Callable | None = None) -> DataFrame:
-    """Agents of each article with entity_id, match_evaluation and classification.
+def ruled_classes(agents: DataFrame) -> DataFrame:
+    """One attempt at a class for each agent, by words of its name and description: a rule in place of a model."""
+    said = F.lower(F.concat_ws(" ", "agent_name", "agent_description"))
+    person = F.when(said.rlike("minister|president|senator|politician"), "Politician").when(said.contains("journalist"), "Journalist").when(said.rlike("spokes(wo)?man|spokesperson"), "Spokesperson").when(said.rlike("professor|expert"), "Expert").otherwise("OrdinaryCitizen")
+    organization = F.when(said.contains("party"), "PoliticalParty").when(said.rlike("university|school"), "EducationalOrganization").when(said.rlike("ministry|government|agency|council"), "GovernmentOrganization").when(said.rlike("ltd|inc|corp"), "Corporation").otherwise("NGO")
+    answer = F.when(F.lower("type_of_agent") == "person", person).otherwise(organization)
+    return agents.select("agent_id", "type_of_agent", F.lit(1).alias("attempt"), answer.alias("answer"), F.lit("MEDIUM").alias("confidence"), F.lit("by rule").alias("explanation"), F.lit(None).cast("string").alias("error"))
+
+
+def linked(claims: DataFrame, entities: DataFrame, verify: Callable | None = None, classify: Callable = ruled_classes) -> DataFrame:
+    """Agents of each article with entity_id, match_evaluation and classification; all agents are classified, linked or not.
 
     ``verify`` turns the routed agents into a table (agent_id, answer); without it a single candidate is
-    taken and several are not.
+    taken and several are not. ``classify`` turns agents into attempts at a class (see linking.classified).
     """
     agents = claim_ops.unique_agents(claims).withColumn("agent_id", F.concat_ws("|", "article_id", "agent_name")).withColumnRenamed("agent_type", "type_of_agent")
     routed = linking.second_chance(linking.candidates(agents.withColumn("ner_name", annotators.ner("agent_name", "type_of_agent")), entities), entities)
@@ -70,14 +79,15 @@ def linked(claims: DataFrame, entities: DataFrame, verify: Callable | None = Non
         answered = routed.join(verify(routed), "agent_id", "left")
     one = linking.verified(F.col("answer"), F.get("candidates", 0))
     entity = F.when(F.col("route") == "one", one).when(F.col("route") == "multiple", linking.selected(F.col("answer"), F.col("candidates")))
-    return answered.withColumn("entity_id", entity).withColumn("match_evaluation", linking.matched(entity)).withColumn("classification", F.lit("Other"))
+    classes = linking.classified(classify(agents)).select("agent_id", "classification", "confidence")
+    return answered.withColumn("entity_id", entity).withColumn("match_evaluation", linking.matched(entity)).join(classes, "agent_id", "left")
 
 
-def run(articles: DataFrame, entities: DataFrame, settings: Settings | None = None) -> dict[str, DataFrame]:
+def run(articles: DataFrame, entities: DataFrame, settings: Settings | None = None, verify: Callable | None = None, classify: Callable = ruled_classes) -> dict[str, DataFrame]:
     """The named tables of a run: claims, agents, summary, totals, graph. articles also needs publisher and domain for sources."""
     settings = settings or Settings()
     claims = extracted(articles, settings)
-    agents = linked(claims, entities)
+    agents = linked(claims, entities, verify, classify)
     for name in ("publisher", "domain", "date", "source_link"):
         if name not in articles.columns:
             articles = articles.withColumn(name, F.lit(None).cast("string"))

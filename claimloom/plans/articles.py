@@ -29,7 +29,7 @@ def article_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids from paths, and defaults for titles and authors that are missing."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat(F.lit("file:/corpus/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json"))
-    title = F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 40))
+    title = F.when(F.col("doc_id") % 3 != 0, F.get(F.split("text", "\n", 2), 0))
     return docs.select("doc_id", t.article_id(path).alias("article_id"), t.or_default(title, "No Title").alias("title"), t.or_default(F.when(F.col("lang") != "en", F.col("lang")), "Unknown").alias("author"), t.safe_filename(t.article_id(path)).alias("file"))
 
 
@@ -139,9 +139,10 @@ def ner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed-word vectors of every document: dimensions and squared norm."""
+    """Hashed-word vectors of every document: dimensions, squared norm and some coordinates."""
     v = annotators.hashing_encoder(64)(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", v.alias("v")).select("doc_id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm2"))
+    at = [F.round(F.get("v", i).cast("double"), 4).alias(f"v{i}") for i in (0, 7, 63)]
+    return table(spark, sf_dir, "documents").select("doc_id", v.alias("v")).select("doc_id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm2"), *at)
 
 
 _VALUES = ", ".join(f"({i}, {x})" for i, x in enumerate(IDS))
@@ -152,7 +153,7 @@ QUERIES = {f.__name__: f for f in (lookup_by_ids, missing_ids, article_defaults,
 ORACLES = {
     "lookup_by_ids": f"SELECT pos, doc_id, lang, source, n_chars FROM (VALUES {_VALUES}) v(pos, id) JOIN documents ON doc_id = id",
     "missing_ids": f"SELECT pos, CAST(id AS BIGINT) AS id FROM (VALUES {_VALUES}) v(pos, id) WHERE id NOT IN (SELECT doc_id FROM documents)",
-    "article_defaults": f"SELECT doc_id, {_ID} AS article_id, CASE WHEN doc_id % 3 <> 0 THEN left(text, 40) ELSE 'No Title' END AS title, CASE WHEN lang <> 'en' THEN lang ELSE 'Unknown' END AS author, 'article_' || {_ID} || '.json' AS file FROM documents",
+    "article_defaults": f"SELECT doc_id, {_ID} AS article_id, CASE WHEN doc_id % 3 <> 0 THEN split_part(text, chr(10), 1) ELSE 'No Title' END AS title, CASE WHEN lang <> 'en' THEN lang ELSE 'Unknown' END AS author, 'article_' || {_ID} || '.json' AS file FROM documents",
     "combined_text": "SELECT doc_id, md5(source || '. ' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE text END) AS combined_md5, md5(CASE WHEN doc_id % 2 = 1 THEN text WHEN doc_id % 4 <> 0 THEN lang || ':' || text ELSE doc_id || ' ' || source || ' ' || n_chars END) AS body_md5 FROM documents",
     "page_title_domain": "SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ''), 'No Title') AS title, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain FROM pages",
     "uri_slug": f"SELECT p_partkey, 'http://example.org/ns/Spare_Part/' || replace({_NAME}, ' ', '_') AS uri, '/' || replace({_NAME}, ' ', '_') || '/' AS slug, url_encode('/' || replace({_NAME}, ' ', '_') || '/') AS quoted, p_brand || '-v1_0' AS model FROM part",
@@ -165,4 +166,6 @@ ORACLES = {
     "json_repair_root": "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS first_k, CASE WHEN event_id % 5 = 1 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS second_k FROM events",
     "annotator_fanout": "SELECT doc_id, annotator, CASE annotator WHEN 'A' THEN left(text, 10) WHEN 'B' THEN CAST(length(text) AS VARCHAR) ELSE CASE WHEN length(text) % 2 = 0 THEN CAST(length(text) AS VARCHAR) END END AS answer, CASE WHEN annotator = 'C' AND length(text) % 2 = 1 THEN 3 WHEN annotator = 'A' AND text = '' THEN 3 ELSE 1 END AS attempts FROM documents, (VALUES ('A'), ('B'), ('C')) v(annotator)",
     "fix_text": "SELECT doc_id, md5(text) AS fixed_md5 FROM documents",
+    "ner": "WITH n AS (SELECT DISTINCT 'Dr. ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' Smith, minister' AS name, 'person' AS kind FROM customer UNION SELECT s_name || ' Ltd', 'organization' FROM supplier) SELECT name, kind, CASE WHEN kind = 'person' THEN regexp_extract(name, '^Dr\\. ([^,]+),', 1) ELSE name END AS recognised FROM n",
+    "embed": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents), h AS (SELECT doc_id, md5(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS m FROM w), c AS (SELECT doc_id, (('0x' || substr(m, 1, 2))::BIGINT) % 64 AS i, sum(CASE WHEN ('0x' || substr(m, 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY 1, 2), s AS (SELECT doc_id, sqrt(sum(x * x)) AS n, " + ", ".join(f"coalesce(sum(x) FILTER (i = {i}), 0) AS a{i}" for i in (0, 7, 63)) + " FROM c GROUP BY 1) SELECT d.doc_id, 64 AS dimensions, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE 1.0 END AS norm2, " + ", ".join(f"CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE round(CAST(a{i} / n AS DOUBLE), 4) END AS v{i}" for i in (0, 7, 63)) + " FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id",
 }

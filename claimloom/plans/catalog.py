@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from claimloom.plans import articles, claims, graph, linking, ontology, search
+from claimloom.plans import articles, claims, flows, graph, linking, ontology, search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (search, articles, claims, linking, graph, ontology):
+for _module in (search, articles, claims, linking, graph, ontology, flows):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -19,7 +19,7 @@ def claim_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("article_id"),
         F.col("turn").alias("pos"),
         F.col("role").alias("agent_name"),
-        F.substring("text", 1, 20).alias("agent_description"),
+        F.col("text").alias("agent_description"),
         kind.alias("agent_type"),
         F.when(k == 0, "direct").when(k == 1, "indirect").otherwise("Partial").alias("utterance_type"),
         F.col("text").alias("utterance_text"),
@@ -144,7 +144,7 @@ _KIND = "CASE role WHEN 'user' THEN 'person' WHEN 'assistant' THEN 'organization
 QUERIES = {f.__name__: f for f in (claim_validate, unique_agents, claim_ordinal, consensus_vote, consensus_stats, chrono_sort, summary_condensed, summary_totals, checkpoint_resume, history_last_attempt, topic_first_match, topic_stats, eval_prf, claims_matched)}
 ORACLES = {
     "claim_validate": r"SELECT conv_id AS article_id, turn AS pos, coalesce(regexp_replace(text, '\s', '', 'g') <> '' AND role <> '' AND role IN ('user', 'assistant') AND turn % 3 < 2, false) AS is_valid FROM conversations",
-    "unique_agents": f"SELECT conv_id AS article_id, role AS agent_name, arg_min({_KIND}, turn) AS agent_type, arg_min(left(text, 20), turn) AS agent_description FROM conversations WHERE role <> '' GROUP BY 1, 2",
+    "unique_agents": f"SELECT conv_id AS article_id, role AS agent_name, arg_min({_KIND}, turn) AS agent_type, arg_min(text, turn) AS agent_description FROM conversations WHERE role <> '' GROUP BY 1, 2",
     "claim_ordinal": "SELECT article_id, md5(text) AS text_md5, agent_name, first_pos, row_number() OVER (PARTITION BY article_id ORDER BY first_pos) AS n FROM (SELECT conv_id AS article_id, text, role AS agent_name, min(turn) AS first_pos FROM conversations GROUP BY 1, 2, 3)",
     "consensus_vote": f"WITH ann AS ({_ANN}) {_CONS}",
     "consensus_stats": f"WITH ann AS ({_ANN}), f AS (SELECT count(*) AS n FROM ({_CONS})) SELECT count(*) FILTER (annotator = 'A') AS \"llm_A_claims\", count(*) FILTER (annotator = 'B') AS \"llm_B_claims\", count(*) FILTER (annotator = 'C') AS \"llm_C_claims\", count(*) AS total_extracted, any_value(f.n) AS final_claims, round(count(*) / 3.0, 6) AS average_per_llm, round(any_value(f.n) * 100.0 / count(*), 6) AS retention_rate FROM ann, f",

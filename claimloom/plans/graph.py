@@ -23,8 +23,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: topic by language, publisher by source, several publishers to a domain."""
     return table(spark, sf_dir, "documents").select(
         _article_id("doc_id", "lang").alias("article_id"),
-        F.substring("text", 1, 30).alias("title"),
-        F.md5(F.col("text").cast("binary")).alias("body"),
+        F.get(F.split("text", "\n", 2), 0).alias("title"),
+        F.col("text").alias("body"),
         F.when(F.col("doc_id") % 3 != 0, F.lit("2024-01-05 10:00:00+00:00")).alias("date"),
         F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("source_link"),
         F.concat(F.lit("Press of "), "source").alias("publisher"),
@@ -124,7 +124,7 @@ _R = f"'{_V}AgentRole/' || replace(r, ' ', '_')"
 _U = f"'{_V}Utterance/' || md5(ctx || c)"
 
 _SQL = {
-    "kg_news": _union(_ART, [("a", _T, f"'{_V}NewsItem'", None, ""), ("a", f"{_V}hasTitle", "left(text, 30)", "", ""), ("a", g.LABEL, "left(text, 30)", "", ""), ("a", f"{_V}hasText", "md5(text)", "", ""), ("a", f"{_V}hasURL", "'https://example.org/' || doc_id", f"{_X}anyURI", ""), ("i", _T, f"'{g.TIME}Instant'", None, "dated"), ("i", f"{g.TIME}inXSDDateTimeStamp", "'2024-01-05T10:00:00+00:00'", f"{_X}dateTimeStamp", "dated"), ("a", f"{g.TIME}hasTime", "i", None, "dated")]),
+    "kg_news": _union(_ART, [("a", _T, f"'{_V}NewsItem'", None, ""), ("a", f"{_V}hasTitle", "split_part(text, chr(10), 1)", "", ""), ("a", g.LABEL, "split_part(text, chr(10), 1)", "", ""), ("a", f"{_V}hasText", "text", "", ""), ("a", f"{_V}hasURL", "'https://example.org/' || doc_id", f"{_X}anyURI", ""), ("i", _T, f"'{g.TIME}Instant'", None, "dated"), ("i", f"{g.TIME}inXSDDateTimeStamp", "'2024-01-05T10:00:00+00:00'", f"{_X}dateTimeStamp", "dated"), ("a", f"{g.TIME}hasTime", "i", None, "dated")]),
     "kg_sources": _union(f"SELECT *, '{_V}Publisher/' || replace(pub, ' ', '_') AS p, '{_V}NewsSource/' || dom AS n FROM ({_ART}) WHERE dom IS NOT NULL", [("p", _T, f"'{_V}Publisher'", None, ""), ("p", _T, f"'{_V}Organization'", None, ""), ("p", g.LABEL, "pub", "", ""), ("n", _T, f"'{_V}NewsSource'", None, ""), ("n", g.LABEL, "'News Source: ' || dom", "", ""), ("n", f"{_V}hasPublisher", "p", None, ""), ("a", f"{_V}hasNewsSource", "n", None, "")]),
     "kg_topics": _union(f"SELECT *, '{_V}Topic/' || t AS tu FROM ({_ART}) WHERE t IS NOT NULL", [("tu", _T, f"'{_V}Topic'", None, ""), ("tu", g.PREF_LABEL, "tl", "", ""), ("a", f"{_V}hasTopic", "tu", None, ""), ("tu", f"{_V}topicInNewsItem", "a", None, "")]),
     "kg_agents": _union(_AG, [("ag", _T, f"'{_V}Person'", None, "role <> 'assistant'"), ("ag", _T, f"'{_V}Organization'", None, "role = 'assistant'"), ("ag", _T, f"'{g.SCHEMA}NGO'", None, "role = 'assistant'"), ("ag", _T, f"'{_V}Agent'", None, ""), ("ag", g.LABEL, "role", "", ""), ("ag", f"{g.OWL}sameAs", "'https://www.wikidata.org/entity/Q42'", None, "role = 'user'")]),

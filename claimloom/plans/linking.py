@@ -139,8 +139,8 @@ def kb_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_value_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All values of a property in source order, as one string."""
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    df = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(rows, lambda x: x["l_partkey"].cast("string")).alias("v"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.lit("P1").alias("property"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").cast("string").alias("value_label"))
+    df = rows.groupBy("l_orderkey").agg(kb._all("P1", F.col("value_label")).alias("v"))
     return df.select("l_orderkey", F.array_join("v", ",").alias("parts"))
 
 
@@ -168,5 +168,5 @@ ORACLES = {
     "label_join": f"SELECT 'C' || c_custkey AS entity_id, 'P17' AS property, {_NLABEL} AS value_label, r_name AS of_label FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = c_nationkey % 5",
     "kb_persons": f"SELECT 'C' || c_custkey AS entity_id, c_name AS name, '19' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-05-07' AS birth_date, CAST(coalesce(n_held, 0) AS INTEGER) AS n_held, held_first, held_start, CAST(NULL AS VARCHAR) AS image_url FROM customer LEFT JOIN (SELECT o_custkey, any_value(n) AS n_held, any_value(label) AS held_first, any_value(d) AS held_start FROM (SELECT o_custkey, {_NLABEL} AS label, strftime(o_orderdate, '%Y-%m-%d') AS d, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus <> 'O' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '9999-99-99' END DESC, o_orderdate DESC, o_orderkey) AS r FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 WHERE n_nationkey % 6 <> 0) WHERE r = 1 GROUP BY 1) ON o_custkey = c_custkey",
     "kb_organizations": f"WITH l AS (SELECT n_nationkey AS k, {_NBOTH} AS v FROM nation) SELECT 'S' || s_suppkey AS entity_id, s_name AS name, 'zeta' AS alias, a.v AS type, '/4/987' AS inception_date, 'https://' || s_name AS official_website, d.v || ',' || c.v || ',' || b.v AS key_people, 0 AS n_subsidiaries FROM supplier JOIN l a ON a.k = s_suppkey % 25 JOIN l b ON b.k = (s_suppkey + 1) % 25 JOIN l c ON c.k = (s_suppkey + 2) % 25 JOIN l d ON d.k = (s_suppkey + 3) % 25",
-    "multi_value_collect": "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY 1",
+    "multi_value_collect": "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS parts FROM lineitem GROUP BY 1",
 }

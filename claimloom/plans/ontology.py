@@ -79,7 +79,7 @@ def subclass_closure_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes lie at each depth."""
-    return o.level_histogram(subclass_closure(spark, sf_dir))
+    return o.level_histogram(o.closure(_edges(spark, sf_dir), "ALL", o.DEEPEST))
 
 
 def taxonomy_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

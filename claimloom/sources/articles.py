@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,30 @@ def read_raw(spark: SparkSession, data_dir: str) -> DataFrame:
     return raw.withColumn("file_path", F.col("_metadata.file_path")).filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
+def write_raw(rows: DataFrame, data_dir: str) -> int:
+    """Writes (topic, name, json) as ``<data_dir>/<topic>/<name>.json``, from the tasks; a file appears whole. Returns their number.
+
+    ``data_dir`` is a shared folder with its scheme, as checkpoints and corpora are.
+    """
+    from pyarrow import fs
+    import pyarrow as pa
+
+    def put(batches):
+        n = 0
+        for b in batches:
+            for topic, name, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                system, base = fs.FileSystem.from_uri(f"{data_dir.rstrip('/')}/{topic}")
+                system.create_dir(base, recursive=True)
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(text.encode())
+                system.move(part, f"{base}/{name}.json")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.select("topic", "name", "json").mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def normalised(raw: DataFrame) -> DataFrame:
     """Articles with defaults for what is missing; texts are repaired, so a null title becomes empty.
 
@@ -77,3 +102,8 @@ def export_csv(articles: DataFrame, folder: str) -> tuple[int, list[str]]:
     flat = articles.select(*[F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in articles.dtypes])
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
     return articles.count(), articles.columns
+
+
+def write_summary(summary: DataFrame, folder: str) -> None:
+    """The condensed summary as JSON lines, an article with its claims and agents on each."""
+    summary.write.mode("overwrite").json(folder)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
+
+from claimloom.functions.text import safe_filename
 
 CLAIM = "STRUCT<agent_name: STRING, agent_description: STRING, agent_type: STRING, utterance_type: STRING, utterance_text: STRING, source_context: STRING>"
 SCHEMA = f"""article_id STRING, title STRING, body STRING, date STRING, source_link STRING,
@@ -25,6 +28,28 @@ def append(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").parquet(folder)
 
 
+def failures(articles: DataFrame, error: Column, timestamp: Column) -> DataFrame:
+    """Checkpoint rows of articles (article_id, title) whose processing failed: status error, no claims and no agents."""
+    given = {"article_id": F.col("article_id"), "title": F.col("title"), "timestamp": timestamp, "status": F.lit("error"), "error": error}
+    kinds = _parse_datatype_string(SCHEMA)
+    return articles.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def successes(summary: DataFrame, timestamp: Column) -> DataFrame:
+    """Checkpoint rows of finished articles (article_id, title, claims)."""
+    given = {"article_id": F.col("article_id"), "title": F.col("title"), "claims": F.col("claims"), "timestamp": timestamp, "status": F.lit("success"), "agents_info": F.create_map()}
+    kinds = _parse_datatype_string(SCHEMA)
+    return summary.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """One JSON file for each checkpoint row, ``article_<id>.json``, beside the table for tools that read files."""
+    from claimloom.sources.articles import write_raw
+
+    name = F.replace(safe_filename(F.col("article_id")), F.lit(".json"), F.lit(""))
+    return write_raw(rows.select(F.lit("files").alias("topic"), name.alias("name"), F.to_json(F.struct("*")).alias("json")), folder)
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(folder)
 

@@ -130,11 +130,10 @@ def test_retry_and_backoff():
     assert annotators.backoff(lambda: (404, {}, "")) is None
 
 
-def test_names():
-    assert annotators.recognised_name("Dr. Ann Lee, minister", "person") == "Ann Lee"
-    assert annotators.recognised_name("Acme Ltd", "person") is None
-    assert annotators.recognised_name("Acme Ltd", "organization") == "Acme Ltd"
-    assert annotators.recognised_name("a source", "person") is None and annotators.recognised_name(None, "person") is None
+def test_names(spark):
+    names = [("Dr. Ann Lee, minister", "person", "Ann Lee"), ("Acme Ltd", "person", None), ("Acme Ltd", "organization", "Acme Ltd"), ("a source", "person", None), (None, "person", None), ("Sir Bob (UK)", "Person", "Bob"), ("Ann", None, None)]
+    df = spark.createDataFrame(names, "n string, k string, want string").select(annotators.ner("n", "k").alias("got"), "want")
+    assert all(r.got == r.want for r in df.collect())
 
 
 @pytest.mark.parametrize("version", [1, 2])
