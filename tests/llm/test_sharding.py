@@ -1,7 +1,9 @@
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from claimloom.llm import sharding as s
 from claimloom.llm.queries import QUERIES
@@ -22,6 +24,102 @@ def check(rows, shards):
     return groups
 
 
+def h(*values):
+    """Spark's xxhash64 of longs (int), of ints (a tuple of one) and of texts."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute(docs, shards=24):
+    """{(id, text): sorted [(shard, slot)]} by plain loops, one request after the other."""
+    key_of = lambda t: (h(t), zlib.crc32(t.encode()), len(t.encode()) + 8)
+    rows = [(d, key_of(t or "")) for d, t in docs]
+    total, quotas = len(rows), [len(rows) // shards + (i < len(rows) % shards) for i in range(shards)]
+    groups = defaultdict(Counter)
+    for d, k in rows:
+        groups[k][h(d, (1,)) % shards] += 1
+    cells = {k: Counter(c) for k, c in groups.items() if sum(c.values()) > 1}
+    n_chunks = lambda n: max(1, -(-n // 4096))
+    while True:
+        loads = Counter()
+        for c in cells.values():
+            loads.update(c)
+        wide = max(64, n_chunks(sum(map(len, cells.values())) // shards))
+        asked = defaultdict(list)
+        for k, c in cells.items():
+            order = sorted((int(loads[i] >= quotas[i]), -n, h(*k, (i,)), i) for i, n in c.items())
+            open_cells = [x for x in order if not x[0]]
+            m = min(-(sum(x[1] for x in open_cells) // max(1, min(quotas))), len(open_cells))
+            for at, (_, less, tie, i) in enumerate(order):
+                if m and at >= m and -less <= -order[at % m][1]:
+                    asked[order[at % m][3]].append(((-less).bit_length() - 1, tie % wide, k, i, -less))
+        moved = False
+        for to, requests in asked.items():
+            room = max(0, quotas[to] - loads[to])
+            for _, _, k, i, n in sorted(requests):
+                granted = min(n, room)
+                room -= granted
+                moved |= granted > 0
+                cells[k][to] += granted
+                cells[k][i] -= granted
+        cells = {k: Counter({i: n for i, n in c.items() if n}) for k, c in cells.items()}
+        if not moved:
+            break
+    by_hash = lambda keys, n: sorted(keys, key=lambda k: (h(*k, (3,)) % n_chunks(n), k))
+    final, pool, room = defaultdict(Counter), Counter({k: 1 for k, c in groups.items() if sum(c.values()) == 1}), list(quotas)
+    for i in range(shards):
+        for k in by_hash([k for k in cells if cells[k][i]], total // shards):
+            kept = min(cells[k][i], room[i])
+            room[i] -= kept
+            final[k][i] += kept
+            pool[k] += cells[k][i] - kept
+    i = 0
+    for k in by_hash([k for k in pool if pool[k]], total):
+        left = pool[k]
+        while left:
+            part = min(left, room[i])
+            final[k][i] += part
+            room[i] -= part
+            left -= part
+            i += not room[i]
+    first, used = {}, Counter()
+    for i in range(shards):
+        for k in by_hash([k for k in final if final[k][i]], total // shards):
+            first[k, i] = used[i]
+            used[i] += final[k][i]
+    members = defaultdict(list)
+    for d, k in rows:
+        members[k].append(d)
+    out = defaultdict(list)
+    for k, ids in members.items():
+        places = [(i, first[k, i] + j) for i in sorted(final[k]) for j in range(final[k][i])]
+        parts = -(-len(ids) // s.PART)
+        for d, place in zip(sorted(ids, key=lambda d: (h(d, (2,)) % parts, d is not None, d or 0)), places):
+            out[d, k].append(place)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("shards", [24, 5])
+def test_against_one_request_after_the_other(spark, shards):
+    rows = [(i, "hot") for i in range(1500)] + [(10_000 + i, f"t{i % 250}") for i in range(900)] + [(50_000 + i, f"single {i}") for i in range(700)] + [(None, "x"), (None, "x"), (7, "x"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = defaultdict(list)
+    for r in s.sharded(df, shards).collect():
+        got[r.doc_id, r.text_crc32, r.size].append((r.shard, r.slot))
+    want = {(d, k[1], k[2]): v for (d, k), v in brute(rows, shards).items()}
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_query_against_loops(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = {(r.doc_id, r.text_crc32, r.size): [(r.shard, r.slot)] for r in QUERIES["op8_balanced_label_propagation"](spark, sf).collect()}
+    assert rows == {(d, k[1], k[2]): v for (d, k), v in brute(docs).items()}
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = QUERIES["op8_balanced_label_propagation"](spark, sf).collect()
@@ -58,12 +156,14 @@ def test_only_copies(spark):
     check(s.sharded(one, 24).collect(), 24)
 
 
-def test_sums_before(spark):
+def test_sums_before(spark, monkeypatch):
     rows = [(i % 3, i, (i * 7) % 5 + 1) for i in range(200)]
     df = spark.createDataFrame(rows, "p int, k int, n bigint").selectExpr("p", "k", "n", "k % 4 as c")
-    got = {r.k: r.x for r in s.before(df, ["p"], df.c, ["k"], "n", "x").collect()}
-    for p, k, _ in rows:
-        assert got[k] == sum(n for q, j, n in rows if q == p and (j % 4, j) < (k % 4, k))
+    for at_once in (4096, 2):
+        monkeypatch.setattr(s, "_CHUNKS_AT_ONCE", at_once)
+        got = {r.k: r.x for r in s.before(df, ["p"], df.c, 4, ["k"], "n", "x").collect()}
+        for p, k, _ in rows:
+            assert got[k] == sum(n for q, j, n in rows if q == p and (j % 4, j) < (k % 4, k))
 
 
 def test_edges(spark):
