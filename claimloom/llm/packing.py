@@ -11,7 +11,8 @@ Documents are dealt to packers by hash of their id and text, about PACKER_ROWS e
 sees a like mix, no packer holds an unbounded group, and the cost is linear in the corpus. A source or
 cluster with a third of all rows is dealt evenly like the rest; its pieces just open more bins.
 
-Defined cases: a null text is an empty one and costs the end mark. A null source conflicts with
+Defined cases: a null text is an empty one and costs the end mark. A very long text fills as many bins as it needs.
+Pieces of equal size go in order of id, cluster and source; of bins of equal residual the one opened first is taken. A null source conflicts with
 none; a null id packs like any other. Copies share a cluster, so repeated rows fall into
 different bins. Further columns do no harm. No documents give no rows.
 """
@@ -65,7 +66,7 @@ _SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, bin bigint, bi
 
 def _packer(capacity: int):
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "cluster", "source", "cost")])
         ids, cost, sources, clusters = (table.column(c).to_pylist() for c in ("doc_id", "cost", "source", "cluster"))
         n = len(ids)
         full = [(c - 1) // capacity for c in cost]  # whole pieces before the rest
@@ -94,15 +95,16 @@ def _packer(capacity: int):
     return pack
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, packer_rows: int = PACKER_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, packer_rows: int = PACKER_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, cost_col: str | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, start and length in the document, bin, bin_offset, source, cluster.
 
-    ``cluster_col`` names a column of duplicate-cluster ids (long); else equal texts form a cluster.
-    Only lengths and hashes of the texts are shuffled.
+    ``cluster_col`` names a column of duplicate-cluster ids (long); else equal texts form a cluster. ``cost_col``
+    names a column of costs (1 or more), in place of the text. Only lengths and hashes of the texts are shuffled.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if text_col in docs.columns else F.lit("")
     cluster = F.col(cluster_col).cast("bigint") if cluster_col else F.xxhash64(text)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("bigint").alias("cost"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"))
+    cost = F.col(cost_col) if cost_col else F.octet_length(text) + F.lit(1)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), cost.cast("bigint").alias("cost"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"))
     packers = max(1, -(-docs.count() // packer_rows))
     dealt = rows.withColumn("packer", F.pmod(F.xxhash64("doc_id", "cluster", F.lit(9)), F.lit(packers)))
     return dealt.groupBy("packer").applyInArrow(_packer(capacity), _SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimloom.llm import bpe, language_model, media, packing, pii, quality_classifier, quality_rules, sharding, simhash, token_files
 from claimloom.llm.common import documents
@@ -34,7 +35,7 @@ def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probabilities of every document under the interpolated bigram model and the add-one base."""
+    """Log-probabilities of every document under the interpolated trigram model and the add-one base."""
     return language_model.scores(documents(spark, sf_dir))
 
 
@@ -49,8 +50,10 @@ def op8_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bin and place of every piece of every document."""
-    return packing.packed(documents(spark, sf_dir))
+    """The bin and place of every piece of every document; documents of one near-duplicate class (op2's) share no bin."""
+    cost = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    rows, cluster = simhash.clustered(documents(spark, sf_dir).select("doc_id", "source", "text", cost.alias("cost")))
+    return packing.packed(rows, cluster_col=cluster, cost_col="cost")
 
 
 def op10_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

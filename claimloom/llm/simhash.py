@@ -283,6 +283,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def clustered(docs: DataFrame, text_col: str = "text", width: int = 3, bucket: int = BUCKET, out: str = "cluster") -> tuple[DataFrame, str]:
+    """docs, stored without the text, with a long that says each row's class (its least fingerprint); and that column's name."""
+    out = unused(docs, out)
+    marked, fp = fingerprints(docs, text_col, width, unused(docs, "_fp"))
+    own = stored(marked.drop(text_col))
+    distinct = stored(own.select(F.col(fp).alias("fp")).distinct())
+    found = components(links(distinct, bucket), "fp", "to").select(F.col("node").alias(fp), F.col("component").alias(out))
+    return own.join(found, fp, "left").withColumn(out, F.coalesce(out, fp)).drop(fp), out
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = near_copies.WIDTH) -> DataFrame:
     """One row of each class of near copies: the one of smallest id (null ids last), ties by a digest of the text, then of the row.
 

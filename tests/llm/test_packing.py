@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from claimloom.llm import packing as p
 from claimloom.llm.queries import QUERIES
+from tests.llm import test_simhash
 
 
 def brute(sizes, sources, clusters, capacity):
@@ -65,6 +66,20 @@ def test_query(spark, sf):
     assert p.efficiency(p.packed(docs)).first().filled > 0.7
 
 
+def test_query_against_all_bins(spark, sf):
+    """One packer holds all of this table: its bins are those of the search over all open bins, with op2's classes by all pairs."""
+    docs = sorted((r.doc_id, r.source, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert len(docs) <= p.PACKER_ROWS
+    fps = [test_simhash.brute_fingerprint(t) for _, _, t in docs]
+    label = test_simhash.brute_classes(fps)
+    costs = [len(t.encode()) + 1 for _, _, t in docs]
+    full = [(c - 1) // p.CAPACITY for c in costs]
+    bins = brute([c - f * p.CAPACITY for c, f in zip(costs, full)], [s for _, s, _ in docs], [label[f] for f in fps], p.CAPACITY)
+    got = {(r.doc_id, r.piece): r.bin for r in QUERIES["op9_best_fit_packing"](spark, sf).collect()}
+    assert {d: got[d, f] for (d, _, _), f in zip(docs, full)} == {d: b for (d, _, _), b in zip(docs, bins)}
+    assert len(got) == len(docs) + sum(full) and len({b for (d, k), b in got.items() if k < dict(zip((d for d, _, _ in docs), full))[d]}) == sum(full)
+
+
 def test_same_rows_whatever_the_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = ({tuple(r) for r in p.packed(d, packer_rows=100).collect()} for d in (docs, docs.repartition(7)))
