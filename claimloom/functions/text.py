@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -183,21 +186,60 @@ def prompt(template: str, **values: Column) -> Column:
 _MOJIBAKE = ("Ã", "Â", "â€", "Å", "ðŸ")
 
 
+_CONTINUED = "".join(dict.fromkeys(c for b in range(0x80, 0xC0) for c in (bytes([b]).decode("cp1252", "ignore"), chr(b)) if c))
+#: A character that was read byte by byte: its first byte and as many more as that one says.
+_RUN = re.compile(f"[Â-Å][{re.escape(_CONTINUED)}]|â[{re.escape(_CONTINUED)}]{{2}}|ð[{re.escape(_CONTINUED)}]{{3}}")
+#: Straight quotes, letters for ligatures, one kind of line end; control characters and stray marks of order go.
+_PLAIN = str.maketrans(
+    {q: "'" for q in "\u2018\u2019\u201a\u201b\u02bc"}
+    | {q: '"' for q in "\u201c\u201d\u201e\u201f"}
+    | {x: unicodedata.normalize("NFKC", x) for x in "\u0132\u0133\u0149\u01f1\u01f2\u01f3\u01c4\u01c5\u01c6\u01c7\u01c8\u01c9\u01ca\u01cb\u01cc\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06"}
+    | {x: "\n" for x in "\u2028\u2029\x85"}
+    | {x: None for x in [*map(chr, [*range(9), 11, *range(14, 32), 127]), "\ufeff", "\u206a", "\u206b", "\u206c", "\u206d", "\u206e", "\u206f", "\ufff9", "\ufffa", "\ufffb"]}
+)
+_TERMINAL = re.compile("\x1b\\[((?:\\d|;)*)([a-zA-Z])")
+
+
+def _read_again(text: str) -> str:
+    """UTF-8 that was read as Windows-1252 or Latin-1, read again: the whole text, else the runs that are whole characters."""
+    for codec in ("cp1252", "latin-1"):
+        try:
+            return text.encode(codec).decode("utf-8")
+        except UnicodeError:
+            continue
+
+    def one(m: re.Match) -> str:
+        raw = b"".join(c.encode("latin-1") if ord(c) < 256 else c.encode("cp1252") for c in m[0])
+        try:
+            return raw.decode("utf-8")
+        except UnicodeError:
+            return m[0]
+
+    return _RUN.sub(one, text)
+
+
 def repaired(text: str | None) -> str:
-    """UTF-8 that was read as Windows-1252 or Latin-1, read again, up to three times; null is empty."""
+    """A text as it was meant; null is empty.
+
+    In this order: HTML entities where the text has no ``<``, terminal escapes, wrong code pages (up to three times), full-width
+    letters, ligatures, curly quotes, line ends, control characters, and composed characters (NFC).
+    """
     text = text or ""
+    if "&" in text and "<" not in text:
+        text = html.unescape(text)
+    text = _TERMINAL.sub("", text)
     for _ in range(3):
         if not any(m in text for m in _MOJIBAKE):
             break
-        for codec in ("cp1252", "latin-1"):
-            try:
-                text = text.encode(codec).decode("utf-8")
-                break
-            except UnicodeError:
-                continue
-        else:
+        again = _read_again(text)
+        if again == text:
             break
-    return text
+        text = again
+    text = "".join(unicodedata.normalize("NFKC", c) if "\uff01" <= c <= "\uff5e" or c == "\u3000" else c for c in text) if _WIDE.search(text) else text
+    return unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n").translate(_PLAIN))
+
+
+_WIDE = re.compile("[\uff01-\uff5e\u3000]")
 
 
 @F.arrow_udf(StringType())

@@ -66,7 +66,7 @@ def test_small_expressions(spark):
     assert one(spark, t.experiment_name(F.col("c"), F.lit("b"), F.lit("c/1")), c="a.1") == "a_1__b__c-1"
 
 
-@pytest.mark.parametrize(("broken", "want"), [("cafÃ©", "café"), ("itâ€™s", "it’s"), ("fine é", "fine é"), ("", ""), (None, ""), ("Ãx", "Ãx")])
+@pytest.mark.parametrize(("broken", "want"), [("cafÃ©", "café"), ("itâ€™s", "it's"), ("Ã¨ → cafÃ©", "è → café"), ("a &lt; b &amp; c", "a < b & c"), ("<p>&amp;</p>", "<p>&amp;</p>"), ("\ufb01ne \u201cq\u201d", 'fine "q"'), ("a\r\nb\rc\u2028d", "a\nb\nc\nd"), ("a\x07\x1b[31mb\ufeff", "ab"), ("e\u0301 \uff21", "é A"), ("fine é", "fine é"), ("", ""), (None, ""), ("Ãx", "Ãx")])
 def test_fix_text(spark, broken, want):
     assert one(spark, t.fix_text(F.col("c")), c=broken) == want
 
