@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,9 +174,18 @@ def _resource(c):
     return F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
 
 
-def _object():
+def _short(c, prefixes: dict[str, str] | None):
+    """A resource, by its prefix where what follows the namespace is a plain name."""
+    out = _resource(c)
+    for name, space in (prefixes or {}).items():
+        rest = F.substring(c, F.lit(len(space) + 1), F.length(c))
+        out = F.when(c.startswith(space) & rest.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit(f"{name}:"), rest)).otherwise(out)
+    return out
+
+
+def _object(prefixes: dict[str, str] | None = None):
     tail = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(F.col("datatype").isNotNull(), F.concat(F.lit("^^<"), F.col("datatype"), F.lit(">"))).otherwise("")
-    return F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'), tail)).otherwise(_resource(F.col("o")))
+    return F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'), tail)).otherwise(_short(F.col("o"), prefixes))
 
 
 def n_triples(graph: DataFrame) -> DataFrame:
@@ -183,10 +193,20 @@ def n_triples(graph: DataFrame) -> DataFrame:
     return graph.select(F.concat_ws(" ", _resource(F.col("s")), _resource(F.col("p")), _object(), F.lit(".")).alias("value"))
 
 
-def turtle(graph: DataFrame) -> DataFrame:
-    """(value): a statement per subject; the triples of one subject are gathered, so subjects must be of bounded size."""
-    rows = graph.select(_resource(F.col("s")).alias("s"), F.concat_ws(" ", _resource(F.col("p")), _object()).alias("po"))
-    return rows.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("po")), " ;\n    ").alias("po")).select(F.concat("s", F.lit(" "), "po", F.lit(" .")).alias("value"))
+def turtle(graph: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(value): a statement per subject; the triples of one subject are gathered, so subjects must be of bounded size.
+
+    ``prefixes`` (name to namespace) are bound at the head of each partition, as every part is a document of its own.
+    """
+    rows = graph.select(_short(F.col("s"), prefixes).alias("s"), F.concat_ws(" ", _short(F.col("p"), prefixes), _object(prefixes)).alias("po"))
+    out = rows.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("po")), " ;\n    ").alias("po")).select(F.concat("s", F.lit(" "), "po", F.lit(" .")).alias("value"))
+    head = "\n".join(f"@prefix {name}: <{space}> ." for name, space in (prefixes or {}).items())
+
+    def bound(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        yield from batches
+
+    return out.mapInArrow(bound, "value string") if prefixes else out
 
 
 def json_ld(graph: DataFrame) -> DataFrame:
@@ -219,9 +239,10 @@ def rdf_xml(graph: DataFrame) -> DataFrame:
 FORMATS = {"turtle": turtle, "nt": n_triples, "json-ld": json_ld, "xml": rdf_xml}
 
 
-def write(graph: DataFrame, folder: str, form: str = "turtle") -> None:
-    """A folder of text parts. xml: each part's lines go between the root's tags; json-ld: one object a line."""
-    FORMATS[form](graph).write.mode("overwrite").text(folder)
+def write(graph: DataFrame, folder: str, form: str = "turtle", prefixes: dict[str, str] | None = None) -> None:
+    """A folder of text parts. xml: each part's lines go between the root's tags; json-ld: one object a line. Turtle binds ``prefixes``."""
+    rows = turtle(graph, prefixes) if form == "turtle" else FORMATS[form](graph)
+    rows.write.mode("overwrite").text(folder)
 
 
 def xml_document(lines: list[str]) -> str:
