@@ -11,7 +11,9 @@ tokens comes out whole, as bytes are joined before they are read as UTF-8, and `
 holds back an unfinished character until its last byte.
 
 Defined cases: a null text is encoded as an empty one, without tokens. Strings of special tokens
-are ordinary text in rank files. Ids outside the table raise KeyError. Repeated rows, null ids and further columns are kept.
+are ordinary text in rank files. Ids outside the table raise KeyError. A very long text is encoded whole, fragment by
+fragment, so its tokens don't depend on its neighbours in a batch. Merges of equal rank go from the left. Repeated rows,
+null ids and further columns are kept; added columns get names that clash with none. No rows give no rows.
 """
 
 from __future__ import annotations

@@ -38,7 +38,12 @@ def workspace(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/claimloom-{uuid.uuid4().hex}")
+    return qualified(spark, f"{base.rstrip('/')}/claimloom-{uuid.uuid4().hex}")
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme that Spark gives it, so that tasks which write by themselves go to the same store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 

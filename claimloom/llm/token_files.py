@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.bpe import encoder
-from claimloom.llm.common import binaries, stored, utf8, workspace
+from claimloom.llm.common import binaries, qualified, stored, utf8, workspace
 
 MAGIC = b"PFOR0001"
 BLOCK = 128
@@ -216,7 +216,7 @@ def _writer(folder: str, tokenizer: str, percentile: int, ids_per_file: int):
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, percentile: int = PERCENTILE, ids_per_file: int = IDS_PER_FILE, partitions: int | None = None) -> DataFrame:
     """Writes the files into a shared folder. Returns the manifest, a row per file with the ids before it (``base``)."""
-    spark = docs.sparkSession
+    spark, folder = docs.sparkSession, qualified(docs.sparkSession, folder)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("digest")]
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("digest"))
