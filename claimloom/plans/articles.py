@@ -167,5 +167,5 @@ ORACLES = {
     "annotator_fanout": "SELECT doc_id, annotator, CASE annotator WHEN 'A' THEN left(text, 10) WHEN 'B' THEN CAST(length(text) AS VARCHAR) ELSE CASE WHEN length(text) % 2 = 0 THEN CAST(length(text) AS VARCHAR) END END AS answer, CASE WHEN annotator = 'C' AND length(text) % 2 = 1 THEN 3 WHEN annotator = 'A' AND text = '' THEN 3 ELSE 1 END AS attempts FROM documents, (VALUES ('A'), ('B'), ('C')) v(annotator)",
     "fix_text": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || CASE WHEN contains(text, '<') THEN ' &amp;' ELSE ' &' END || ' \"q\" fi A é' || chr(10) || '!' END) AS fixed_md5 FROM documents",
     "ner": "WITH n AS (SELECT DISTINCT 'Dr. ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' Smith, minister' AS name, 'person' AS kind FROM customer UNION SELECT s_name || ' Ltd', 'organization' FROM supplier) SELECT name, kind, CASE WHEN kind = 'person' THEN regexp_extract(name, '^Dr\\. ([^,]+),', 1) ELSE name END AS recognised FROM n",
-    "embed": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents), h AS (SELECT doc_id, md5(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS m FROM w), c AS (SELECT doc_id, (('0x' || substr(m, 1, 2))::BIGINT) % 64 AS i, sum(CASE WHEN ('0x' || substr(m, 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY 1, 2), s AS (SELECT doc_id, sqrt(sum(x * x)) AS n, " + ", ".join(f"coalesce(sum(x) FILTER (i = {i}), 0) AS a{i}" for i in (0, 7, 63)) + " FROM c GROUP BY 1) SELECT d.doc_id, 64 AS dimensions, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE 1.0 END AS norm2, " + ", ".join(f"CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE round(CAST(a{i} / n AS DOUBLE), 4) END AS v{i}" for i in (0, 7, 63)) + " FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id",
+    "embed": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents), h AS (SELECT doc_id, md5(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS m FROM w), c AS (SELECT doc_id, (('0x' || substr(m, 1, 2))::BIGINT) % 64 AS i, sum(CASE WHEN ('0x' || substr(m, 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY 1, 2), s AS (SELECT doc_id, sqrt(sum(x * x)) AS n, " + ", ".join(f"coalesce(sum(x) FILTER (i = {i}), 0) AS a{i}" for i in (0, 7, 63)) + " FROM c GROUP BY 1) SELECT d.doc_id, 64 AS dimensions, CAST(CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS norm2, " + ", ".join(f"CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE round(CAST(a{i} / n AS DOUBLE), 4) END AS v{i}" for i in (0, 7, 63)) + " FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id",
 }

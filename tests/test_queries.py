@@ -1,4 +1,4 @@
-"""Every query of the library against its SQL twin; queries without one must run."""
+"""Every query of the library against its SQL twin."""
 
 import pytest
 
@@ -8,12 +8,8 @@ from tests.oracle import assert_same
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf, name):
-    df = catalog.QUERIES[name](spark, sf)
-    if name in catalog.ORACLES:
-        assert_same(df, catalog.ORACLES[name], sf)
-    else:
-        assert df.columns and len(df.collect()) >= 0
+    assert_same(catalog.QUERIES[name](spark, sf), catalog.ORACLES[name], sf)
 
 
-def test_every_oracle_has_a_query():
-    assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
