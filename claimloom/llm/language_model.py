@@ -13,7 +13,7 @@ is held out, its own counts are deleted from all others, and the weights are tho
 likeliest. Every round sums the shares of all held-out tokens, until they gain less than GAIN nats a token.
 
 How it is computed: documents are gathered into blocks of about BLOCK_TOKENS tokens, stored once.
-A block sends each distinct n-gram (a 64-bit hash) with its count to the bucket of its hash;
+A block sends each distinct n-gram (a hash of 56 bits; 64 for a word) with its count to the bucket of its hash;
 buckets add up the counts of all blocks and send them back in the block's order. So a shuffle holds an
 n-gram once per block, in sorted arrays (differences, byte planes, zstd), no word or document is hot, and
 both sides work in numpy. A block never sends more than 2^CUT messages of an order: where a corpus has more than
@@ -151,7 +151,7 @@ class Block:
                 first[self.starts] = self.end
                 x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) + self.words[first] * np.uint64(0xD6E8FEB86659FD93)
             x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            return x ^ x >> np.uint64(32)
+            return (x ^ x >> np.uint64(32)) & ~np.uint64(0xFF)  # 56 bits: a byte less for each n-gram that is sent
 
     def placed(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys ascending, and each token's place among them."""
