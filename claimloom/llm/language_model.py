@@ -16,7 +16,9 @@ How it is computed: documents are gathered into blocks of about BLOCK_TOKENS tok
 A block sends each distinct n-gram (a hash of 56 bits; 64 for a word) with its count to the bucket of its hash;
 buckets add up the counts of all blocks and send them back in the block's order. So a shuffle holds an
 n-gram once per block, in sorted arrays (differences, byte planes, zstd), no word or document is hot, and
-both sides work in numpy. A block never sends more than 2^CUT messages of an order: where a corpus has more than
+both sides work in numpy. One pass sends one order, and of a corpus of more than GROUP_TOKENS tokens the hashes
+that share their top bits, in up to PASSES passes; a pass's shuffle and tables are removed before the next, so the disk holds the
+blocks, the sums so far and one pass. In a pass a block never sends more than 2^CUT messages: where a pass has more than
 GROUP_TOKENS tokens, its blocks first add up in groups, whose sums go on as the blocks of the next
 level, cut by the next bits of the hash, and the totals come back the same way. Messages so grow
 in proportion to the corpus times its number of levels, the logarithm of its size to the base 2^CUT. The part that
@@ -44,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import dropped, stored, utf8, word_slices, workspace
+from claimloom.llm.common import dropped, shuffles_removed, stored, utf8, word_slices, workspace
 
 BLOCK_TOKENS = 1 << 20
 #: Tokens for each bucket of n-grams.
@@ -52,6 +54,8 @@ BUCKET_TOKENS = 1 << 21
 #: Bits of the hash by which a level is cut, and tokens whose blocks add up in one group.
 CUT = 8
 GROUP_TOKENS = BLOCK_TOKENS << CUT
+#: Passes of an order at most, a power of two.
+PASSES = 8
 #: Tasks of a shuffle at most; beyond, a task takes several buckets, one after the other.
 TASKS = 100_000
 FOLDS, HELD_OUT, DELETED = 7, 2, 0
@@ -162,6 +166,19 @@ class Block:
         place[rank] = np.arange(len(rank))
         return self.words[rank], place[self.stream]
 
+    def counted(self, order: int, pre: int, done: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys whose first ``done`` bits are pre, ascending, and how often training has each."""
+        train = self.roles > 0
+        if order > 1 and done:
+            own = self.hashes(order)
+            at = own >> np.uint64(64 - done) == pre
+            keys, where = np.unique(own[at], return_inverse=True)
+            return keys, np.bincount(where[train[at]], minlength=len(keys))
+        keys, where = self.placed(order)
+        counts = np.bincount(where[train], minlength=len(keys))
+        at = keys >> np.uint64(64 - done) == pre if done else slice(None)
+        return keys[at], counts[at]
+
 
 def _batch(names: str, kinds: list, *rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names.split())
@@ -182,17 +199,15 @@ def _cut(src: int, pre: int, order: int, keys: np.ndarray, counts: np.ndarray, g
         yield _batch(_SENT, _SENT_KINDS, [src, pre, k, order, _packed(np.diff(keys[at], prepend=np.uint64(0))), _packed(counts[at].astype("<u8")), lost])
 
 
-def _sent(bits: int):
-    """A block's n-grams, a row for each order and bucket (the top bits of the hash)."""
+def _sent(order: int, pre: int, done: int, bits: int):
+    """A block's n-grams of an order whose first ``done`` bits are pre, a row for each bucket (the next bits of the hash)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 block = Block(row["roles"], row["lengths"], row["words"], row["stream"])
-                for order in ORDERS:
-                    keys, where = block.placed(order)
-                    counts = np.bincount(where[block.roles > 0], minlength=len(keys))
-                    yield from _cut(row["block"], 0, order, keys, counts, counts if row["deleted"] else None, 0, bits)
+                keys, counts = block.counted(order, pre, done)
+                yield from _cut(row["block"], pre, order, keys, counts, counts if row["deleted"] else None, done, bits)
 
     return send
 
@@ -266,24 +281,51 @@ def _tasks(n: int) -> int:
     return max(1, min(n, TASKS))
 
 
-def _totals(sent: DataFrame, tokens: int, bits: int, done: int, sizes: tuple[int, int, int]) -> DataFrame:
-    """The messages' counts over the whole corpus. tokens: of one prefix of ``done`` bits; sizes: tokens of a bucket and of a group, and bits of a cut."""
+def _totals(sent: DataFrame, tokens: int, bits: int, done: int, prefixes: int, sizes: tuple[int, int, int], scratch: str) -> DataFrame:
+    """The messages' counts over the whole corpus.
+
+    tokens: of one prefix of ``done`` bits; prefixes: how many of those there are; sizes: tokens of a bucket and of a group, and bits of a cut;
+    scratch: a folder for the tables between, which may go once the counts are stored.
+    """
     _, group, _ = sizes
-    buckets = len(ORDERS) << (done + bits)
+    buckets = prefixes << bits
     if tokens <= group:
         return sent.repartition(_tasks(buckets), "pre", "sub", "ord").groupBy("pre", "sub", "ord").applyInArrow(_added, _BACK_SCHEMA)
     groups = -(-tokens // group)
-    messages = stored(sent.withColumn("grp", F.pmod(F.xxhash64("src"), F.lit(groups))))
+    messages = stored(sent.withColumn("grp", F.pmod(F.xxhash64("src"), F.lit(groups))), f"{scratch}/messages-{done}")
     key = ["grp", "pre", "sub", "ord"]
-    merged = stored(messages.repartition(_tasks(buckets * groups), *key).groupBy(*key).applyInArrow(_merged(bits), _SENT_SCHEMA))
+    merged = stored(messages.repartition(_tasks(buckets * groups), *key).groupBy(*key).applyInArrow(_merged(bits), _SENT_SCHEMA), f"{scratch}/merged-{done}")
     done, tokens = done + bits, -(-tokens >> bits)
     following = _bits(tokens, sizes)
-    totals = _totals(merged.mapInArrow(_sent_on(done, following), _SENT_SCHEMA), tokens, following, done, sizes)
+    totals = _totals(merged.mapInArrow(_sent_on(done, following), _SENT_SCHEMA), tokens, following, done, buckets, sizes, scratch)
     # a group's sums have the bucket of their messages as their prefix
     down = messages.withColumn("to", F.shiftleft(F.col("pre"), bits).bitwiseOR(F.col("sub"))).groupBy("grp", "to", "ord")
     return down.cogroup(totals.groupBy("src", "pre", "ord")).applyInArrow(_handed_down, _BACK_SCHEMA)
 
 
+def _passes(tokens: int, group: int, most: int) -> int:
+    """Bits of the hash by which an order is cut into passes."""
+    return min(max(0, int(-(-tokens // group) - 1).bit_length()), most.bit_length() - 1)
+
+
+def _counted(blocks: DataFrame, tokens: int, passes: int, sizes: tuple[int, int, int]) -> DataFrame:
+    """The stored counts of all n-grams in their blocks' order, pass by pass."""
+    spark, folder = blocks.sparkSession, workspace(blocks.sparkSession)
+    done = _passes(tokens, sizes[1], passes)
+    part = -(-tokens >> done)
+    bits = _bits(part, sizes)
+    written = []
+    for order in ORDERS:
+        for pre in range(1 << done):
+            scratch = workspace(spark)
+            with shuffles_removed(spark):
+                counts = _totals(blocks.mapInArrow(_sent(order, pre, done, bits), _SENT_SCHEMA), part, bits, done, 1, sizes, scratch)
+                written.append(f"{folder}/{order}-{pre}")
+                stored(counts, written[-1])
+            dropped(spark, scratch)
+    return spark.read.schema(_BACK_SCHEMA).parquet(*written)
+
+
 def _bits(tokens: int, sizes: tuple[int, int, int]) -> int:
     bucket, group, cut = sizes
     return cut if tokens > group else max(0, int(-(-tokens // bucket) - 1).bit_length())
@@ -293,7 +335,7 @@ def _joined(left: pa.Table, right: pa.Table, columns: tuple[str, ...] = ("counts
     """A block's row, its arrays, and for each order each token's numbers of the given columns."""
     row = left.to_pylist()[0]
     block = Block(row["roles"], row["lengths"], row["words"], row["stream"])
-    cells = sorted(right.select(["sub", "ord", *columns]).to_pylist(), key=lambda r: r["sub"])
+    cells = sorted(right.select(["pre", "sub", "ord", *columns]).to_pylist(), key=lambda r: (r["pre"], r["sub"]))
     out = []
     for order in ORDERS:
         where = block.placed(order)[1]
@@ -443,7 +485,7 @@ def _paired(blocks: DataFrame, counts: DataFrame, n: int):
     return blocks.repartition(_tasks(n), "block").groupBy("block").cogroup(counts.withColumnRenamed("src", "block").repartition(_tasks(n), "block").groupBy("block"))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, group_tokens: int = GROUP_TOKENS, cut: int = CUT) -> Model:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, group_tokens: int = GROUP_TOKENS, cut: int = CUT, passes: int = PASSES) -> Model:
     """Blocks and their n-grams' counts, stored, and the weights."""
     spark = docs.sparkSession
     sizes = (bucket_tokens, group_tokens, cut)
@@ -453,11 +495,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     sums = blocks.select("roles", "lengths").mapInArrow(_role_sums, "role int, n bigint").groupBy("role").agg(F.sum("n").alias("n")).collect()  # three rows
     by_role = {r.role: r.n for r in sums}
     tokens, train = sum(by_role.values()), by_role.get(TRAIN, 0) + by_role.get(TRAIN_DELETED, 0)
-    bits = _bits(tokens, sizes)
-    counts = stored(_totals(blocks.mapInArrow(_sent(bits), _SENT_SCHEMA), tokens, bits, 0, sizes))
+    counts = _counted(blocks, tokens, passes, sizes)
     kinds = counts.filter("ord = 1").agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("left"), F.lit(0)).alias("left")).first()
     folder = workspace(spark)
-    held = stored(_paired(blocks.filter("deleted"), counts.filter("gone IS NOT NULL").select("src", "sub", "ord", "counts", "gone"), n_blocks).applyInArrow(_held_out(by_role.get(TRAIN, 0)), _HELD_SCHEMA), folder)
+    with shuffles_removed(spark):
+        held = stored(_paired(blocks.filter("deleted"), counts.filter("gone IS NOT NULL").select("src", "pre", "sub", "ord", "counts", "gone"), n_blocks).applyInArrow(_held_out(by_role.get(TRAIN, 0)), _HELD_SCHEMA), folder)
     w = fit_weights(held, kinds.left)
     dropped(spark, folder)
     return Model(blocks, n_blocks, counts, Weights(w[:-1].reshape(2, BUCKETS), float(w[-1]), train, kinds.kinds))
@@ -473,7 +515,7 @@ def _role_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scored(model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    return _paired(model.blocks, model.counts.select("src", "sub", "ord", "counts"), model.n_blocks).applyInArrow(_scores(model.weights), _SCORE_SCHEMA)
+    return _paired(model.blocks, model.counts.select("src", "pre", "sub", "ord", "counts"), model.n_blocks).applyInArrow(_scores(model.weights), _SCORE_SCHEMA)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
