@@ -5,7 +5,9 @@ SIMILAR. To find the links without comparing all pairs:
 
 1. Texts of equal sets are one. Each set gets BANDS values, each made of ROWS minimum hashes. Two sets
    of similarity s share a value with probability 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8.
-2. Sets that share a value are candidates: all pairs of up to BUCKET sets.
+2. Sets that share a value are candidates: all pairs of up to BUCKET sets. So are sets whose SimHash fingerprints are
+   equal or linked by ``near`` (simhash.links: two bits or fewer, by the generalised pigeonhole principle), each with its class's pivot.
+   Those alone are not enough: sets of similarity 0.8 are expected to differ in some 10 of 64 bits.
 3. Candidates are verified on the sets themselves, and components of the links give the classes.
 4. In a larger bucket only links between different classes matter. Each set is first a candidate with the
    bucket's pivot; then, round by round, the sets outside the bucket's largest class are candidates with PIVOTS to
@@ -24,6 +26,8 @@ of exactly 0.8 links. Ids play no part, so null and repeated ids do no harm. No
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -77,6 +81,14 @@ def sketch(least: np.ndarray) -> bytes:
     return least.view(np.uint8)[3::8].tobytes()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set: the bits that more than half of its hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _PART):
+        ones += np.unpackbits(hashes[at : at + _PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def _key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
@@ -92,14 +104,15 @@ def _lists(rows: list) -> pa.Array:
 
 
 def _sketched(text: pa.Array, width: int) -> pa.Array:
-    keys, values, sketches = [], [], []
+    keys, prints, values, sketches = [], [], [], []
     for x in binaries(text):
         s = shingles(x, width)
         least = least_hashes(s)
         keys.append(_key(s))
+        prints.append(fingerprint(s))
         values.append(bands(least) if len(s) else [])
         sketches.append(sketch(least))
-    return pa.StructArray.from_arrays([_signed(keys), _lists(values), pa.array(sketches, pa.binary())], names=["key", "bands", "sketch"])
+    return pa.StructArray.from_arrays([_signed(keys), _signed(prints), _lists(values), pa.array(sketches, pa.binary())], names=["key", "fp", "bands", "sketch"])
 
 
 def _hashed(text: pa.Array, width: int) -> pa.Array:
@@ -125,6 +138,14 @@ def _pivot(turn: int) -> Column:
     return F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("key"))
 
 
+def by_fingerprint(distinct: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Candidates (a, b) by SimHash: the sets of a fingerprint with their pivot, and the pivots of fingerprints that near links."""
+    of = stored(distinct.groupBy("fp").agg(F.min(_pivot(0))["key"].alias("pivot")))
+    same = distinct.select("key", "fp").join(of, "fp")
+    other = of.select(F.col("fp").alias("to"), F.col("pivot").alias("other"))
+    return _ordered(same, "key", "pivot").union(_ordered(near(of.select("fp")).join(of, "fp").join(other, "to"), "pivot", "other"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar."""
     a, b = (sets.select(F.col("key").alias(x), F.col("hashes").alias(f"in_{x}")) for x in "ab")
@@ -200,18 +221,24 @@ def _joined_classes(links: DataFrame, large: DataFrame, sets: DataFrame, distinc
     return components(stored(links.union(_between_blocks(unsettled, distinct, sets, bucket))), "a", "b")
 
 
-def classes(texts: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """The rows of texts (column ``text``, binary, and others), stored with the key of their set instead of the text; and (key, component)."""
+def classes(texts: DataFrame, width: int = WIDTH, bucket: int = BUCKET, near: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of texts (column ``text``, binary, and others), stored with the key of their set instead of the text; and (key, component).
+
+    ``near`` links a table of distinct fingerprints, column fp, as simhash.links does.
+    """
     at = F.xxhash64("text")
-    described = texts.withColumn("_at", at).withColumn("_s", _udf(_sketched, "struct<key:bigint,bands:array<bigint>,sketch:binary>", width)("text"))
+    described = texts.withColumn("_at", at).withColumn("_s", _udf(_sketched, "struct<key:bigint,fp:bigint,bands:array<bigint>,sketch:binary>", width)("text"))
     own = stored(described.select(*[c for c in texts.columns if c != "text"], "_at", "_s.*"))
-    distinct = stored(own.groupBy("key").agg(F.min(F.struct("_at", "bands", "sketch")).alias("s")).select("key", "s.*"))
+    distinct = stored(own.groupBy("key").agg(F.min(F.struct("_at", "fp", "bands", "sketch")).alias("s")).select("key", "s.*"))
     probes = distinct.select("key", F.explode("bands").alias("value"))
     sizes = probes.groupBy("value").agg(F.count(F.lit(1)).alias("rows"), F.min(_pivot(0))["key"].alias("pivot")).filter("rows > 1")
     held = probes.join(sizes, "value")
     small = held.filter(F.col("rows") <= bucket).groupBy("value").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most `bucket` each
     large = stored(held.filter(F.col("rows") > bucket).select("value", "key", "pivot"))
-    pairs = stored(small.select(F.explode(_pairs_of(F.col("keys"))).alias("p")).select("p.*").union(_ordered(large, "key", "pivot")).distinct())
+    pairs = small.select(F.explode(_pairs_of(F.col("keys"))).alias("p")).select("p.*").union(_ordered(large, "key", "pivot"))
+    if near:
+        pairs = pairs.union(by_fingerprint(distinct, near))
+    pairs = stored(pairs.distinct())
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = distinct.join(keys, "key", "left_semi").select("_at")
     some = texts.select("text").withColumn("_at", at).join(wanted, "_at", "left_semi").select("text")
@@ -220,4 +247,4 @@ def classes(texts: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -> tuple
     links = stored(_linked(pairs, sets))
     found = _joined_classes(links, large.select("value", "key"), sets, distinct, bucket)
     joined = distinct.select("key").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"))
-    return own.drop("bands", "sketch", "_at"), joined
+    return own.drop("fp", "bands", "sketch", "_at"), joined

@@ -296,14 +296,14 @@ def clustered(docs: DataFrame, text_col: str = "text", width: int = 3, bucket: i
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = near_copies.WIDTH) -> DataFrame:
     """One row of each class of near copies: the one of smallest id (null ids last), ties by a digest of the text, then of the row.
 
-    Classes are those of near_copies, verified on shingles, not those of ``classes``. Rows that are equal
+    Classes are those of near_copies: candidates by SimHash (``links``) and by minimum hashes, each verified on shingles; not those of ``classes``. Rows that are equal
     in all columns are one; so each class keeps exactly one row, whatever its ids. Columns of maps don't enter the digest.
     """
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     first, second = unused(docs, "_first"), unused(docs, "_second")
     marked = docs.withColumn(first, F.xxhash64(*plain)).withColumn(second, F.xxhash64(F.lit(1), *plain))
     texts = marked.select(F.col(f"`{id_col}`").alias("id"), F.col(first).alias("first"), F.col(second).alias("second"), utf8(text_col).alias("text"))
-    own, by_key = near_copies.classes(texts.withColumn("digest", F.xxhash64("text")), width)
+    own, by_key = near_copies.classes(texts.withColumn("digest", F.xxhash64("text")), width, near=links)
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest"), F.col("first"), F.col("second"))
     by_set = own.groupBy("key").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("rows"))
     least = by_set.join(by_key, "key").groupBy("component").agg(F.min("place").alias("place"))

@@ -26,7 +26,11 @@ def _quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles, similarity 0.8 or more), the one of smallest id."""
+    """One document of each class of near copies, the one of smallest id.
+
+    Candidates are the SimHash links of five-word shingles and, as those alone miss most copies, sets that share minimum
+    hashes; each is verified: similarity 0.8 or more.
+    """
     return simhash.one_of_each(docs)
 
 

@@ -93,6 +93,34 @@ def test_repeated_and_null_ids_keep_one_row_of_each_class(spark):
     assert simhash.one_of_each(both).count() == 2 and simhash.one_of_each(both.limit(0)).count() == 0
 
 
+def test_candidates_by_fingerprint(spark):
+    """Sets of one fingerprint meet, and fingerprints of two bits' distance or less."""
+    f = 0x0123456789ABCDEF
+    rows = [(1, f), (2, f), (3, f ^ 1), (4, f ^ 0b11 << 40), (5, f ^ 0b111), (6, ~f), (7, ~f)]
+    pairs = {(r.a, r.b) for r in n.by_fingerprint(spark.createDataFrame(rows, "key bigint, fp bigint"), simhash.links).collect()}
+    label = {k: k for k, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6}  # 5 by way of 3
+
+
+def test_one_of_each_goes_by_simhash(spark, monkeypatch):
+    """The fingerprints of all sets are linked by simhash.links."""
+    asked, links = [], simhash.links
+
+    def seen(fps, *more):
+        asked.append({r.fp for r in fps.collect()})
+        return links(fps, *more)
+
+    monkeypatch.setattr(simhash, "links", seen)
+    texts = near_texts(random.Random(4), 10) + [None, "one two three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == survivors(texts, range(len(texts)))
+    want = {simhash.fingerprint((t or "").encode(), n.WIDTH) for t in texts}  # no shingle stands twice in these texts
+    assert asked == [{x - (x >> 63 << 64) for x in want}]
+
+
 def test_shingles_of_long_texts():
     text = " ".join(str(i % 5000) for i in range(400_000)).encode()
     assert len(text) > 1 << 20 and len(n.shingles(text)) == len(sets(text.decode()))
