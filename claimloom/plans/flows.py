@@ -84,7 +84,7 @@ def answer_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts of three annotators that differ by a few edits, brought under the least of them."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array("text", F.concat("text", F.lit("!")), F.concat("text", F.lit("  AND MUCH MORE THAN ANYBODY SAID IN THE WHOLE ARTICLE AND IN ALL OTHERS OF THAT DAY AND THE NEXT")).alias("x"))).alias("source_context"))
-    return c.near_contexts(turns, "conv_id").select("conv_id", "turn", _md5(F.col("source_context")).alias("context_md5"), _md5(F.col("context_key")).alias("key_md5"))
+    return c.near_contexts(turns, "conv_id").filter("context_key is not null").select("conv_id", "turn", _md5(F.col("source_context")).alias("context_md5"), _md5(F.col("context_key")).alias("key_md5"))
 
 
 def annotators_any(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,7 +379,7 @@ def _oracles() -> dict[str, str]:
         "claims_first_key": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n FROM conversations",
         "first_version_shape": "SELECT conv_id, bool_and(turn % 2 = 0) AS whole FROM conversations GROUP BY 1",
         "answer_retry": "SELECT c_custkey AS agent_id, CAST(CASE WHEN c_custkey % 4 < 3 THEN c_custkey % 4 + 1 END AS INTEGER) AS attempt, CASE WHEN c_custkey % 4 < 3 THEN 'Q' || c_custkey END AS answer, CASE WHEN c_custkey % 4 < 3 THEN 'try ' || (c_custkey % 4 + 1) END AS reasoning FROM customer",
-        "near_contexts": "WITH x AS (SELECT conv_id, turn, unnest([text, text || '!', text || '  AND MUCH MORE THAN ANYBODY SAID IN THE WHOLE ARTICLE AND IN ALL OTHERS OF THAT DAY AND THE NEXT']) AS c FROM conversations), k AS (SELECT *, lower(regexp_replace(trim(c), '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM x), o AS (SELECT DISTINCT conv_id, t, array_to_string(string_split(t, ' ')[1:2], ' ') AS b FROM k), n AS (SELECT o.conv_id, o.t, min(p.t) AS key FROM o JOIN o p ON p.conv_id = o.conv_id AND p.b = o.b AND levenshtein(o.t, p.t) <= greatest(length(o.t), length(p.t)) * 0.15 GROUP BY 1, 2) SELECT k.conv_id, turn, md5(c) AS context_md5, md5(key) AS key_md5 FROM k JOIN n ON n.conv_id = k.conv_id AND n.t = k.t",
+        "near_contexts": "WITH x AS (SELECT conv_id, turn, unnest([text, text || '!', text || '  AND MUCH MORE THAN ANYBODY SAID IN THE WHOLE ARTICLE AND IN ALL OTHERS OF THAT DAY AND THE NEXT']) AS c FROM conversations), k AS (SELECT *, lower(regexp_replace(trim(c), '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM x), o AS (SELECT DISTINCT conv_id, t FROM k), n AS (SELECT o.conv_id, o.t, min(p.t) AS key FROM o JOIN o p ON p.conv_id = o.conv_id AND levenshtein(o.t, p.t) <= greatest(length(o.t), length(p.t)) * 0.15 GROUP BY 1, 2) SELECT k.conv_id, turn, md5(c) AS context_md5, md5(key) AS key_md5 FROM k JOIN n ON n.conv_id = k.conv_id AND n.t = k.t",
         "annotators_any": "SELECT DISTINCT conv_id AS article_id FROM conversations WHERE role = 'assistant'",
         "article_corpus": "SELECT page_id || '_topic' || page_id % 3 AS article_id, CASE WHEN page_id % 5 = 0 THEN 'No Title' ELSE 'Page ' || page_id END AS title, url AS body, CASE WHEN page_id % 5 = 1 THEN 'Unknown' ELSE 'Ann Writer' END AS author, CASE WHEN page_id % 5 = 2 THEN '' ELSE '2024-01-05' END AS date, 'Unknown' AS source, url AS source_link, 'body,combined,title' AS kinds FROM pages WHERE page_id % 5 <> 4",
         "flat_export": "SELECT doc_id, length(text) AS length, lang, source, (SELECT count(*) FROM documents) AS n_rows, 'doc_id,text,info' AS columns FROM documents",

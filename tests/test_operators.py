@@ -1,7 +1,9 @@
 """Operators on small fixtures."""
 
 import json
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,35 @@ def test_near_contexts(spark):
     assert len(set(keys)) == 3
 
 
+def test_near_contexts_beyond_first_words(spark):
+    df = spark.createDataFrame([(1, "The tax is too high for all of us here, they said"), (1, "A tax is too high for all of us here, they said"), (1, "Those who pay it think nothing of that"), (2, "The tax is too high for all of us here, they said"), (None, "x"), (2, None)], "article_id int, source_context string")
+    rows = sorted(((r.article_id or 0, r.source_context or "", r.context_key) for r in claims.near_contexts(df).collect()), key=repr)
+    a, the, those = "a tax is too high for all of us here, they said", "the tax is too high for all of us here, they said", "those who pay it think nothing of that"
+    assert [(i, k) for i, _, k in rows] == [(0, None), (1, a), (1, a), (1, those), (2, None), (2, the)]
+
+
+def _edited(r, s):
+    for _ in range(r.randrange(9)):
+        p = r.randrange(len(s) + 1)
+        s = s[:p] + r.choice(["", "a", "é", "日", " "]) + s[p + r.randrange(2) :]
+    return s
+
+
+@pytest.mark.parametrize("limit", [8000, 9])
+def test_near_contexts_as_all_pairs(spark, limit):
+    r = random.Random(limit)
+    rows = []
+    for article in range(5):
+        base = ["".join(r.choice("abcdé ") for _ in range(r.randrange(150))) for _ in range(3)]
+        rows += [(article, k, _edited(r, _edited(r, r.choice(base)))) for k in range(30)]
+    df = spark.createDataFrame(rows, "article_id int, pos int, source_context string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x AS SELECT unnest(?) AS a, unnest(?) AS pos, unnest(?) AS c", [list(x) for x in zip(*rows)])
+    want = con.execute("WITH k AS (SELECT a, pos, lower(regexp_replace(trim(c), '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM x) SELECT o.a, o.pos, min(p.t) FROM k o JOIN k p ON o.a = p.a AND levenshtein(o.t, p.t) <= greatest(length(o.t), length(p.t)) * 0.15 GROUP BY 1, 2").fetchall()
+    got = [(x.article_id, x.pos, x.context_key) for x in claims.near_contexts(df, limit=limit).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_valid_items_and_shape(spark):
     rows = [{"agent_name": "A", "agent_description": "", "agent_type": "person", "utterance_type": "direct", "utterance_text": "t", "source_context": "c"}]
     bad = [rows[0] | {"agent_type": "Person"}, rows[0] | {"agent_name": " "}, rows[0] | {"source_context": None}]
