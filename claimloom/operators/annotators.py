@@ -75,12 +75,13 @@ def backoff(call: Callable[[], tuple[int, dict, str]], attempts: int = 5, sleep:
     return None
 
 
-_ANSWERS = "annotator string, answer string, attempts int, error string"
+_ANSWERS = "annotator string, answer string, attempts int, error string, refused string"
 
 
 def annotated(texts: DataFrame, factories: dict[str, Callable[[], Annotator]], id_col: str = "article_id", text_col: str = "text", attempts: int = 3, pause: float = 0.0, accept: Callable[[str], bool] = bool) -> DataFrame:
-    """(id, annotator, answer, attempts, error): every text by every annotator; a failing one gives null and its error.
+    """(id, annotator, answer, attempts, error, refused): every text by every annotator; a failing one gives null and its error.
 
+    ``refused`` is the last answer where none was accepted. A null text has no answer and takes one attempt, which calls nobody.
     Texts are fanned out to annotators by a small array, so each call may run in another task.
     """
     kind = dict(texts.dtypes)[id_col]
@@ -92,11 +93,22 @@ def annotated(texts: DataFrame, factories: dict[str, Callable[[], Annotator]], i
             names = b.column("annotator").to_pylist()
             out = []
             for text, name in zip(b.column(text_col).to_pylist(), names):
+                if text is None:
+                    out.append((None, 1, "no text", None))
+                    continue
                 if name not in made:
                     made[name] = factories[name]()
-                out.append(retried(lambda t=text, m=made[name]: m.annotate(t or ""), accept, attempts, pause))
-            answer, tries, error = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(names, pa.string()), pa.array(answer, pa.string()), pa.array(tries, pa.int32()), pa.array(error, pa.string())], names=[id_col, "annotator", "answer", "attempts", "error"])
+                last: list[str] = []
+
+                def call(text=text, made=made[name], last=last) -> str:
+                    last.clear()
+                    last.append(made.annotate(text))
+                    return last[0]
+
+                answer, tries, error = retried(call, accept, attempts, pause)
+                out.append((answer, tries, error, last[0] if error == "refused" and last else None))
+            answer, tries, error, refused = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(names, pa.string()), pa.array(answer, pa.string()), pa.array(tries, pa.int32()), pa.array(error, pa.string()), pa.array(refused, pa.string())], names=[id_col, "annotator", "answer", "attempts", "error", "refused"])
 
     return wide.mapInArrow(run, f"{id_col} {kind}, {_ANSWERS}")
 
