@@ -114,7 +114,7 @@ def flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.struct("lang", "source").alias("info"))
     folder = workspace(spark)
     rows, columns = store.export_csv(docs, folder)
-    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+    back = store.read_csv(spark, folder, columns)
     info = F.from_json("info", "lang string, source string")
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("length"), info["lang"].alias("lang"), info["source"].alias("source"), F.lit(rows).cast("bigint").alias("n_rows"), F.lit(",".join(columns)).alias("columns"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from claimloom.functions.text import article_id, combined_text, fix_text, or_default
 
@@ -97,13 +98,24 @@ def load_or_build(spark: SparkSession, data_dir: str, folder: str, encoder: Call
     return load(spark, folder)
 
 
+#: So that no character is lost: white space at the ends stays, and each end of line is told from those in values.
+CSV = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_csv(articles: DataFrame, folder: str) -> tuple[int, list[str]]:
-    """A flat export: nested columns as JSON; returns the row count and the column names."""
+    """A flat export: nested columns as JSON; returns the row count and the column names. Null is nothing, an empty string is ``""``."""
     flat = articles.select(*[F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in articles.dtypes])
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+    flat.write.mode("overwrite").options(**CSV).csv(folder)
     return articles.count(), articles.columns
 
 
+def read_csv(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """An export's columns as strings, as they were written."""
+    empty = uuid.uuid4().hex  # Spark takes what is its null value for null, quoted or not, so an empty string needs a name no text has
+    back = spark.read.options(**CSV, multiLine=True, emptyValue=empty, maxCharsPerColumn=-1).schema(StructType([StructField(c, StringType()) for c in columns])).csv(folder)
+    return back.select(*[F.when(F.col(c) == empty, F.lit("")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
 def write_summary(summary: DataFrame, folder: str) -> None:
     """The condensed summary as JSON lines, an article with its claims and agents on each."""
     summary.write.mode("overwrite").json(folder)

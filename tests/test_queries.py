@@ -44,3 +44,7 @@ def test_annotator_fanout_on_odd_documents(spark, odd):
 
 def test_combined_text_on_odd_documents(spark, odd):
     assert_as_sql(catalog.QUERIES["combined_text"](spark, odd), "combined_text", odd)
+
+
+def test_flat_export_on_odd_documents(spark, odd):
+    assert_as_sql(catalog.QUERIES["flat_export"](spark, odd), "flat_export", odd)

@@ -109,3 +109,11 @@ def test_stream_resumes(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(source)
         process_new(spark, source, "id bigint", lambda df: df.withColumn("twice", df.id * 2), sink, mark).awaitTermination(60)
     assert spark.read.parquet(sink).count() == 8
+
+
+def test_flat_export_keeps_every_character(spark, tmp_path):
+    texts = [None, "", " a ", "\t", "a\rb", "\r\n", "\n", '"', '""', "\\", '\\"', 'x"\n,"y', "\\N", "null", "#", "\x00", "\u00a0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    folder = str(tmp_path / "flat")
+    articles.export_csv(df, folder)
+    assert [r.text for r in sorted(articles.read_csv(spark, folder, df.columns).collect(), key=lambda r: int(r.id))] == texts
